@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lithoframe.llm import secret_scan
-from lithoframe.llm.textarr import table
+from lithoframe.llm import langid_ecoc, secret_scan
+from lithoframe.llm.textarr import id_text_crc, table
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +14,16 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text of documents, learned from those whose crc32(doc_id) mod 3 is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.pmod(id_text_crc(F.col("doc_id")), F.lit(3)) == 1
+    model = langid_ecoc.fit(docs.where(~held), "text", "lang", "doc_id")
+    return langid_ecoc.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def queries():
-    return {"op7_secret_scan": op7_secret_scan}
+    return {f.__name__: f for f in (op2_language_id, op7_secret_scan,)}
 
 
 def oracle_sql():
