@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import langid_ecoc, secret_scan
+from lithoframe.llm import langid_ecoc, mil_quality, secret_scan
 from lithoframe.llm.textarr import id_text_crc, table
 
 
@@ -22,8 +22,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_ecoc.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text of documents, learned from the labels of rows whose crc32(doc_id) mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(F.pmod(id_text_crc(F.col("doc_id")), F.lit(5)) != 0)
+    model = mil_quality.fit(docs, labels)
+    held = F.pmod(id_text_crc(F.col("doc_id")), F.lit(5)) == 0
+    return docs.select("doc_id", held.alias("held_out"), mil_quality.score(F.col("text"), model, spark).alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def queries():
-    return {f.__name__: f for f in (op2_language_id, op7_secret_scan,)}
+    return {f.__name__: f for f in (op2_language_id, op7_secret_scan, op9_quality,)}
 
 
 def oracle_sql():

@@ -80,6 +80,15 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of a code sequence, by differences of one running polynomial sum."""
+    up, down = _powers(max(17, int(len(codes)).bit_length()))
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)])])
+        h = (total[ends] - total[starts]) * down[starts]
+        return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+
+
 def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
     """Starts, ends and 64-bit hashes of the lower-cased words (runs of letters and digits) of a whole text, and that lower-cased text."""
     low = text.lower()
@@ -90,13 +99,7 @@ def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
     ok = word_chars()[cp]
     edge = np.flatnonzero(np.diff(ok.view(np.int8), prepend=0, append=0))
     starts, ends = edge[0::2], edge[1::2]
-    bits = max(17, int(len(cp)).bit_length())
-    up, down = _powers(bits)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * up[: len(cp)])])
-        h = (total[ends] - total[starts]) * down[starts]
-        h = mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
-    return starts, ends, h, low
+    return starts, ends, span_hashes(cp, starts, ends), low
 
 
 def shingles(h: np.ndarray, n: int) -> np.ndarray:
