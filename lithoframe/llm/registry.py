@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import langid_ecoc, mil_quality, secret_scan
+from lithoframe.llm import langid_ecoc, mil_quality, quartile_digest, secret_scan
 from lithoframe.llm.textarr import id_text_crc, table
 
 
@@ -31,8 +31,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held.alias("held_out"), mil_quality.score(F.col("text"), model, spark).alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op4_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every whole text of documents, of its edited text, and their likeness."""
+    return quartile_digest.with_edits(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op2_language_id, op7_secret_scan, op9_quality,)}
+    return {f.__name__: f for f in (op2_language_id, op4_quartile_digest, op7_secret_scan, op9_quality,)}
 
 
 def oracle_sql():
