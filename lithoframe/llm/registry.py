@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import langid_ecoc, mil_quality, quartile_digest, secret_scan
+from lithoframe.llm import langid_ecoc, mil_quality, quartile_digest, secret_scan, sentencepiece_fst
 from lithoframe.llm.textarr import id_text_crc, table
 
+#: Where the tokenizer's model stands; the file stays there.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text of documents."""
@@ -36,8 +39,13 @@ def op4_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quartile_digest.with_edits(table(spark, sf_dir, "documents"))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text of documents, and a digest of what they decode to."""
+    return sentencepiece_fst.tokenise(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def queries():
-    return {f.__name__: f for f in (op2_language_id, op4_quartile_digest, op7_secret_scan, op9_quality,)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_quartile_digest, op7_secret_scan, op9_quality,)}
 
 
 def oracle_sql():

@@ -82,11 +82,21 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of spans of a code sequence, by differences of one running polynomial sum."""
-    up, down = _powers(max(17, int(len(codes)).bit_length()))
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)])])
-        h = (total[ends] - total[starts]) * down[starts]
-        return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+    return SpanHasher(codes)(starts, ends)
+
+
+class SpanHasher:
+    """The same for many sets of spans of one sequence."""
+
+    def __init__(self, codes: np.ndarray):
+        up, self.down = _powers(max(17, int(len(codes)).bit_length()))
+        with np.errstate(over="ignore"):
+            self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)])])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (self.total[ends] - self.total[starts]) * self.down[starts]
+            return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
 
 
 def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
