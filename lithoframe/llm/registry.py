@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import langid_ecoc, mil_quality, quartile_digest, secret_scan, sentencepiece_fst
+from lithoframe.llm import containment, langid_ecoc, mil_quality, quartile_digest, secret_scan, sentencepiece_fst
 from lithoframe.llm.textarr import id_text_crc, table
 
 #: Where the tokenizer's model stands; the file stays there.
@@ -44,8 +44,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.tokenise(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items contained in each whole text of documents."""
+    return containment.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_quartile_digest, op7_secret_scan, op9_quality,)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_quartile_digest, op6_contained_items, op7_secret_scan, op9_quality,)}
 
 
 def oracle_sql():

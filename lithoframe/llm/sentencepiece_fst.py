@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.textarr import SpanHasher, mix, pieces_of, publish, span_hashes
+from lithoframe.llm.textarr import NONE, HashTable, SpanHasher, pieces_of, publish, span_hashes
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-NONE, UNK = -1, -2
+UNK = -2
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, object]]:
@@ -68,33 +68,6 @@ def _fields(b: bytes) -> Iterator[tuple[int, object]]:
         yield key >> 3, v
 
 
-class HashTable:
-    """From distinct 64-bit keys to non-negative numbers, looked up as arrays (open addressing). ``mixed``: the keys are hashes already."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray, mixed: bool = False):
-        self.mixed = mixed
-        self.bits = max(8, int(len(keys) * 8).bit_length())
-        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, NONE, np.int32)
-        slot = (self._spread(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
-        for k, v, s in zip(keys.tolist(), values.tolist(), slot.tolist()):
-            while self.values[s] != NONE:
-                s = (s + 1) & ((1 << self.bits) - 1)
-            self.keys[s], self.values[s] = k, v
-
-    def _spread(self, keys: np.ndarray) -> np.ndarray:
-        return keys if self.mixed else mix(keys)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        slot = (self._spread(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = self.values[slot]
-        miss = np.flatnonzero((out != NONE) & (self.keys[slot] != keys))
-        while len(miss):
-            slot[miss] = (slot[miss] + 1) & ((1 << self.bits) - 1)
-            out[miss] = self.values[slot[miss]]
-            miss = miss[(out[miss] != NONE) & (self.keys[slot[miss]] != keys[miss])]
-        return out
-
-
 class Transducer:
     """A compiled model. Arcs are numbered by ``order``: single signs first, then pieces in the order of merging."""
 
