@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import containment, langid_ecoc, mil_quality, quartile_digest, secret_scan, sentencepiece_fst, simhash_pigeonring
+from lithoframe.llm import containment, langid_ecoc, mil_quality, quartile_digest, secret_scan, sentencepiece_fst, simhash_pigeonring, template_extract
 from lithoframe.llm.textarr import id_text_crc, table
 
 #: Where the tokenizer's model stands; the file stays there.
@@ -54,8 +54,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pigeonring.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return template_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_quartile_digest, op6_contained_items, op7_secret_scan, op8_simhash, op9_quality,)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_quartile_digest, op5_main_text, op6_contained_items, op7_secret_scan, op8_simhash, op9_quality,)}
 
 
 def oracle_sql():
