@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import containment, langid_ecoc, license_dice, mil_quality, quartile_digest, secret_scan, sentencepiece_fst, simhash_pigeonring, template_extract
+from lithoframe.llm import containment, langid_ecoc, license_dice, mil_quality, quartile_digest, secret_scan, sentencepiece_fst, simhash_pigeonring, template_extract, warc_revisit
 from lithoframe.llm.textarr import id_text_crc, table
 
 #: Where the tokenizer's model stands; the file stays there.
@@ -64,9 +64,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_dice.find_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not-modified revisits of every page, resolved."""
+    return warc_revisit.resolved_pages(table(spark, sf_dir, "pages"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_quartile_digest, op5_main_text, op6_contained_items, op7_secret_scan, op8_simhash, op9_quality, op10_license_scan,)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_revisits, op4_quartile_digest, op5_main_text, op6_contained_items, op7_secret_scan, op8_simhash, op9_quality, op10_license_scan,)}
 
 
 def oracle_sql():
-    return {"op10_license_scan": license_dice.oracle()}
+    return {"op3_revisits": warc_revisit.ORACLE, "op10_license_scan": license_dice.oracle()}
