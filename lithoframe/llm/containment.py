@@ -191,3 +191,12 @@ def _joined(rows: DataFrame, items: DataFrame, n: int, threshold: float) -> Data
     pairs = left.join(right, "key").select("row", "place").distinct()
     both = pairs.join(keyed, "row").join(placed, "place").select("doc_id", "item_id", verify("doc_text", "item_text").alias("f")).select("doc_id", "item_id", "f.*")
     return both.where(F.col("shared") >= F.lit(threshold) * F.col("item_shingles") - 1e-9).withColumn("containment", F.col("shared") / F.col("item_shingles"))
+
+
+def without_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The documents that hold no item; columns stay as they are."""
+    model = load_items(items, item_id, item_text, n, threshold, broadcast_bytes)
+    if model is not None:
+        return docs.where(~holds_item(F.col(text_col), model))
+    found = find_contained(docs, items, id_col, text_col, item_id, item_text, n, threshold, broadcast_bytes).select(F.col("doc_id").alias("_found")).distinct()
+    return docs.join(found, docs[id_col].eqNullSafe(found["_found"]), "left_anti")

@@ -187,3 +187,8 @@ def score(text: F.Column, model: Attention, spark) -> F.Column:
             yield pa.array([m.score(b) for b in utf8(arr)], pa.float64())
 
     return run(text)
+
+
+def good_documents(docs: DataFrame, model: Attention, text_col: str = "text", least: float = 0.3) -> DataFrame:
+    """The documents that the model doesn't reject; columns stay as they are."""
+    return docs.where(score(F.col(text_col), model, docs.sparkSession) >= least)
