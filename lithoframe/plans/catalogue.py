@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from lithoframe.plans import base, statistics  # noqa: F401
+
 FLAGSHIP = "pixel_statistics"
 
 
 def queries():
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(base.SQL)
