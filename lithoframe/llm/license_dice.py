@@ -5,7 +5,7 @@ the whole text. A unit is lower-cased, every run of other signs than letters and
 word bigrams are compared: 2 * shared / (own + template's). Two exact bounds prune before that. Size: with a threshold t,
 the smaller set has at least t / (2 - t) of the larger one's bigrams. Overlap: a match shares at least that part of the
 template's bigrams, so it holds one of any n - ceil(n * t / (2 - t)) + 1 of them; those (the pivots) are what units and
-templates are joined on, and their words are what a text must contain to be cut up at all.
+templates are joined on, and a text is cut up at all only if a regular expression finds one of them in it.
 
 Everything is DataFrame functions. Templates are a fixed list (or a parameter) of at most ``MOST_TEMPLATES`` texts, so
 their table may be broadcast.
@@ -55,8 +55,8 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
 
 
-def pivots(templates: tuple[tuple[str, str], ...], t: float) -> list[tuple[str, list[str], list[str], list[str]]]:
-    """Of each template: its licence, bigrams, pivot bigrams and the words that cover the pivots. Rare words come first."""
+def pivots(templates: tuple[tuple[str, str], ...], t: float) -> list[tuple[str, list[str], list[str]]]:
+    """Of each template: its licence, bigrams and pivot bigrams. Rare words come first."""
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
     count: dict[str, int] = {}
@@ -74,11 +74,20 @@ def pivots(templates: tuple[tuple[str, str], ...], t: float) -> list[tuple[str,
         if not b:
             continue
         keep = len(b) - math.ceil(len(b) * t / (2 - t) - 1e-9) + 1
-        chosen = sorted(b, key=lambda x: min(map(rare, x.split())))[:keep]
-        out.append((name, b, chosen, sorted({min(x.split(), key=rare) for x in chosen})))
+        out.append((name, b, sorted(b, key=lambda x: min(map(rare, x.split())))[:keep]))
     return out
 
 
+def pivot_pattern(bigrams: set[str]) -> str:
+    """A regular expression that finds any of the bigrams in lower-cased text, whatever stands between its words."""
+    after: dict[str, list[str]] = {}
+    for x in sorted(bigrams):
+        a, b = x.split()
+        after.setdefault(a, []).append(b)
+    tails = "|".join(f"{a}[^\\p{{L}}\\p{{N}}]+(?:{'|'.join(b)})" for a, b in after.items())
+    return f"(?<![\\p{{L}}\\p{{N}}])(?:{tails})(?![\\p{{L}}\\p{{N}}])"
+
+
 def normal(x):
     return F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "))
 
@@ -87,14 +96,14 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per id, unit and licence: id, unit (line, paragraph, document), place (from 0), license, dice."""
     spark = docs.sparkSession
     known = pivots(templates, threshold)
-    table = spark.createDataFrame([(k, name, b, p) for k, (name, b, c, _) in enumerate(known) for p in c], "template int, license string, theirs array<string>, pivot string")
-    sizes = [len(b) for _, b, _, _ in known] or [1]
+    table = spark.createDataFrame([(k, name, b, p) for k, (name, b, c) in enumerate(known) for p in c], "template int, license string, theirs array<string>, pivot string")
+    sizes = [len(b) for _, b, _ in known] or [1]
     share = threshold / (2 - threshold)
     least, most = math.ceil(min(sizes) * share - 1e-9), math.floor(max(sizes) / share + 1e-9)
-    cover = sorted({w for _, _, _, ws in known for w in ws})
+    pattern = pivot_pattern({x for _, _, c in known for x in c})
 
     def may(x):
-        return F.exists(F.array(*[F.lit(w) for w in cover]), lambda w: F.contains(x, w)) if cover else F.lit(False)
+        return x.rlike(pattern) if known else F.lit(False)
 
     text = F.col("t")
     lines = F.transform(F.split(text, "\n"), lambda x, k: F.struct(F.lit("line").alias("unit"), k.alias("place"), x.alias("x")))
