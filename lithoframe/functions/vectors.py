@@ -14,6 +14,12 @@ def lit_vector(v) -> Column:
     return F.array(*[F.lit(float(x)) for x in v])
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row. Inside a lambda an expression is computed for every element, so what a
+    lambda needs of the whole array is bound by this first."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -40,12 +46,20 @@ def scaled(a: Column, k: Column) -> Column:
 
 def spectral_angle(a: Column, b: Column) -> Column:
     """Angle between spectra in degrees over their common bands; null with fewer than max(3, B/2) of them or a vanishing norm."""
-    both = F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y"))))
-    p = F.filter(both, lambda s: s.isNotNull())
-    xy = F.aggregate(p, F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy")), lambda t, s: F.struct((t["xy"] + s["x"] * s["y"]).alias("xy"), (t["xx"] + s["x"] * s["x"]).alias("xx"), (t["yy"] + s["y"] * s["y"]).alias("yy")))
-    d = F.sqrt(xy["xx"]) * F.sqrt(xy["yy"])
-    ok = (F.size(p) >= F.greatest(F.lit(3), F.floor(F.size(a) / 2).cast("int"))) & (d > 1e-10)
-    return F.when(ok, F.degrees(F.acos(F.greatest(F.least(xy["xy"] / F.when(d > 1e-10, d).otherwise(1.0), F.lit(1.0)), F.lit(-1.0)))))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy"))
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+
+    def step(t: Column, s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        more = F.struct((t["n"] + 1).alias("n"), (t["xy"] + x * y).alias("xy"), (t["xx"] + x * x).alias("xx"), (t["yy"] + y * y).alias("yy"))
+        return F.when(x.isNotNull() & y.isNotNull(), more).otherwise(t)
+
+    def angle(t: Column) -> Column:
+        d = F.sqrt(t["xx"]) * F.sqrt(t["yy"])
+        ok = (t["n"] >= F.greatest(F.lit(3), F.floor(F.size(a) / 2).cast("int"))) & (d > 1e-10)
+        return F.when(ok, F.degrees(F.acos(F.greatest(F.least(t["xy"] / F.when(d > 1e-10, d).otherwise(1.0), F.lit(1.0)), F.lit(-1.0)))))
+
+    return F.aggregate(pairs, zero, step, angle)
 
 
 def square_error(a: Column, b: Column) -> Column:
@@ -69,9 +83,8 @@ def simplex(v: Column) -> Column:
         theta = (c - 1.0) / n
         return F.struct(n.alias("n"), c.alias("sum"), F.when((x - theta > 0) | (n == 1), theta).otherwise(t["theta"]).alias("theta"))
 
-    theta = F.aggregate(s, start, step, lambda t: t["theta"])
-    raw = F.transform(v, lambda x: F.greatest(x - theta, F.lit(0.0)))
-    return F.transform(raw, lambda x: x / F.greatest(total(raw), F.lit(1e-15)))
+    raw = let(F.aggregate(s, start, step, lambda t: t["theta"]), lambda theta: F.transform(v, lambda x: F.greatest(x - theta, F.lit(0.0))))
+    return let(raw, lambda r: let(F.greatest(total(r), F.lit(1e-15)), lambda t: F.transform(r, lambda x: x / t)))
 
 
 def cone(candidate: Column, reference: Column, angle_deg: float) -> Column:
@@ -81,13 +94,22 @@ def cone(candidate: Column, reference: Column, angle_deg: float) -> Column:
     """
     if not 0 <= angle_deg < 90:
         raise ValueError("the angle must lie in [0, 90)")
-    rr, cr = dot(reference, reference), dot(candidate, reference)
-    along = cr / F.when(rr > 0, rr).otherwise(1.0)
-    side = F.zip_with(candidate, reference, lambda c, r: c - along * r)
-    limit = math.tan(math.radians(angle_deg)) * along * F.sqrt(rr)
-    size = norm(side)
-    pulled = F.zip_with(side, reference, lambda s, r: along * r + s * (limit / F.when(size > 0, size).otherwise(1.0)))
-    return F.when(rr <= 0, reference).when(along < 0, F.raise_error(F.lit("negative projection on the reference")).cast("array<double>")).when(size <= limit, candidate).otherwise(pulled)
+    slope = math.tan(math.radians(angle_deg))
+
+    def around(k: Column) -> Column:
+        """k: rr and al, the reference's square and the candidate's share along it."""
+        side = F.zip_with(candidate, reference, lambda c, r: c - k["al"] * r)
+
+        def pull(q: Column) -> Column:
+            """q: the orthogonal part, its size, and the size that the cone allows."""
+            pulled = F.zip_with(q["side"], reference, lambda s, r: k["al"] * r + s * (q["limit"] / F.when(q["size"] > 0, q["size"]).otherwise(1.0)))
+            return F.when(q["size"] <= q["limit"], candidate).otherwise(pulled)
+
+        sized = let(side, lambda s: let(F.struct(s.alias("side"), norm(s).alias("size"), (slope * k["al"] * F.sqrt(k["rr"])).alias("limit")), pull))
+        return F.when(k["rr"] <= 0, reference).when(k["al"] < 0, F.raise_error(F.lit("negative projection on the reference")).cast("array<double>")).otherwise(sized)
+
+    rr = dot(reference, reference)
+    return let(rr, lambda q: let(F.struct(q.alias("rr"), (dot(candidate, reference) / F.when(q > 0, q).otherwise(1.0)).alias("al")), around))
 
 
 def interpolation_stencil(source: np.ndarray, target: np.ndarray) -> list[tuple[int, float] | None]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lithoframe.plans import base, grid, statistics  # noqa: F401
+from lithoframe.plans import base, grid, ident, spectra, statistics  # noqa: F401
 
 FLAGSHIP = "pixel_statistics"
 
