@@ -68,9 +68,8 @@ def square_error(a: Column, b: Column) -> Column:
 
 def combine(coef: Column, matrix: np.ndarray, offset: np.ndarray | None = None) -> Column:
     """coef (K) times a constant matrix (K, B), plus a constant offset (B)."""
-    rows = [lit_vector(matrix[:, b]) for b in range(matrix.shape[1])]
-    out = [dot(coef, r) + (float(offset[b]) if offset is not None else 0.0) for b, r in enumerate(rows)]
-    return F.array(*out)
+    columns = F.array(*[F.struct(lit_vector(matrix[:, b]).alias("m"), F.lit(float(offset[b]) if offset is not None else 0.0).alias("o")) for b in range(matrix.shape[1])])
+    return let(coef, lambda c: F.transform(columns, lambda k: dot(c, k["m"]) + k["o"]))
 
 
 def simplex(v: Column) -> Column:

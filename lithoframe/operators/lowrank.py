@@ -110,8 +110,8 @@ def fit_pca(df: DataFrame, v: str, rank: int) -> Subspace:
 
 def coefficients(v: Column, model: Subspace) -> Column:
     """Coordinates of a spectrum in the model."""
-    centred = V.subtract(v, V.lit_vector(model.mean))
-    return F.array(*[V.dot(centred, V.lit_vector(b)) for b in model.basis])
+    rows = F.array(*[V.lit_vector(b) for b in model.basis])
+    return V.let(V.subtract(v, V.lit_vector(model.mean)), lambda c: F.transform(rows, lambda r: V.dot(c, r)))
 
 
 def reconstruct(coef: Column, model: Subspace) -> Column:
