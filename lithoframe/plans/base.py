@@ -59,4 +59,4 @@ def r6(c: Column | str, name: str | None = None) -> Column:
 
 
 def q6(expression: str, name: str) -> str:
-    return f"round({expression}, 6) + 0.0 AS {name}"
+    return f"round(CAST({expression} AS DOUBLE), 6) + 0.0 AS {name}"

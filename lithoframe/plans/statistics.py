@@ -43,7 +43,7 @@ _LI = "SELECT l_returnflag, l_linestatus, {cols} FROM lineitem GROUP BY l_return
 _X, _Y = "l_quantity", "l_extendedprice"
 
 
-@query(_LI.format(cols=f"count(*) AS n, {q6('covar_pop(l_quantity, l_extendedprice) / sqrt(var_pop(l_quantity) * var_pop(l_extendedprice))', 'rho')}, CASE WHEN count(*) >= 1000000000 THEN 1.0 ELSE -1.0 END AS rho_or_minus_one"))
+@query(_LI.format(cols=f"count(*) AS n, {q6('covar_pop(l_quantity, l_extendedprice) / sqrt(var_pop(l_quantity) * var_pop(l_extendedprice))', 'rho')}, CAST(-1 AS DOUBLE) AS rho_or_minus_one"))
 def guarded_correlation(spark, sf_dir):
     """Correlation with guards on support and spread; the second column falls back to -1 on too little support."""
     m = M.pair_moments(F.col(_X), F.col(_Y))
@@ -287,10 +287,10 @@ def robust_z_filter(spark, sf_dir):
     return m.join(s, "c_mktsegment").select("c_custkey", r6(z, "z"), (z <= 1.5).alias("kept"))
 
 
-_AX = "axis AS (SELECT unnest(range(64)) AS band, 691.0 + 29.0 * unnest(range(64)) AS w)"
+_AX = "axis AS (SELECT unnest(range(64)) AS band, CAST(691 + 29 * unnest(range(64)) AS DOUBLE) AS w)"
 
 
-@query(f"WITH {_AX}, t AS (SELECT unnest([720.0, 950.0, 1300.0, 1650.0, 2200.0, 2350.0]) AS target) SELECT target, CAST(band AS INTEGER) AS band, w AS wavelength FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY abs(w - target), band) AS k FROM t, axis) WHERE k = 1")
+@query(f"WITH {_AX}, t AS (SELECT unnest([720.0::DOUBLE, 950.0, 1300.0, 1650.0, 2200.0, 2350.0]) AS target) SELECT target, CAST(band AS INTEGER) AS band, w AS wavelength FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY abs(w - target), band) AS k FROM t, axis) WHERE k = 1")
 def band_select_nearest(spark, sf_dir):
     """Nearest band to each target wavelength, the first on ties."""
     t = spark.createDataFrame([(x, V.nearest_index(AXIS, x)) for x in (720.0, 950.0, 1300.0, 1650.0, 2200.0, 2350.0)], "target double, band int")
