@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -82,13 +87,9 @@ def long_rows(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
 
 def float32_digest(v: Column) -> Column:
     """SHA-256 of the little-endian float32 bytes of an array."""
-    import hashlib
-
-    import numpy as np
-    import pyarrow as pa
 
     @F.arrow_udf(StringType())
-    def run(it):
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for arr in it:
             yield pa.array([None if x is None else hashlib.sha256(np.array(x, "<f4").tobytes()).hexdigest() for x in arr.to_pylist()], pa.string())
 
