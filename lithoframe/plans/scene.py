@@ -129,3 +129,14 @@ def rock_proxy_masks(spark, sf_dir):
 
     e = stencil(c, lambda a: {"core": (P.erode(a["c"]) == P.dilate(a["c"])).astype(float)}, ["c"], ["core"], 1, keys=["scene"])
     return c.join(e, ["scene", "y", "x"]).groupBy("scene", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("core").cast("long").alias("core"))
+
+
+@query()
+def wald_benchmark(spark, sf_dir):
+    """Nine fusion candidates on the degraded scene, with their gain over bicubic."""
+    from lithoframe.operators import wald
+
+    v = F.col("v")
+    d = pixels(spark, sf_dir).withColumn("scene", F.expr("cast(y div 25 as int)")).withColumn("y", F.expr("cast(y % 25 as int)"))
+    d = d.select("scene", "y", "x", F.array(*[0.5 + v[k] + 0.2 * v[k + 4] for k in range(6)]).alias("values"), F.array(*[F.least(F.greatest(0.5 + v[k], F.lit(0.0)), F.lit(1.0)) for k in range(3)]).alias("rgb"))
+    return wald.benchmark(d, wald.Protocol(ratio=2, rank=4)).select("scene", "candidate", "metric", F.round("value", 5).alias("value"), F.round("gain_percent", 3).alias("gain_percent"))
