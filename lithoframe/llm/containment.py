@@ -200,3 +200,15 @@ def without_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         return docs.where(~holds_item(F.col(text_col), model))
     found = find_contained(docs, items, id_col, text_col, item_id, item_text, n, threshold, broadcast_bytes).select(F.col("doc_id").alias("_found")).distinct()
     return docs.join(found, docs[id_col].eqNullSafe(found["_found"]), "left_anti")
+
+
+#: The query's rows in DuckDB: every shingle of every document against every item's shingles.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+n AS (SELECT item_id, text, w, least(5, len(w)) AS n FROM i WHERE len(w) > 0),
+items AS (SELECT DISTINCT item_id, text, n, array_to_string(w[k : k + n - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM n)),
+docs AS (SELECT DISTINCT doc_id, n, array_to_string(w[k : k + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d CROSS JOIN (SELECT DISTINCT n FROM n))),
+size AS (SELECT item_id, text, count(*) AS total FROM items GROUP BY item_id, text),
+hit AS (SELECT doc_id, items.item_id, items.text, count(*) AS shared FROM items JOIN docs USING (n, s) GROUP BY doc_id, items.item_id, items.text)
+SELECT doc_id, hit.item_id, total AS item_shingles, shared, shared / total AS containment FROM hit JOIN size ON hit.item_id = size.item_id AND hit.text = size.text WHERE shared >= 0.8 * total - 1e-9"""

@@ -7,8 +7,8 @@ the smaller set has at least t / (2 - t) of the larger one's bigrams. Overlap: a
 template's bigrams, so it holds one of any n - ceil(n * t / (2 - t)) + 1 of them; those (the pivots) are what units and
 templates are joined on, and a text is cut up at all only if a regular expression finds one of them in it.
 
-Everything is DataFrame functions. Templates are a fixed list (or a parameter) of at most ``MOST_TEMPLATES`` texts, so
-their table may be broadcast.
+Everything is DataFrame functions. Templates are a fixed list (or a parameter) of at most ``MOST_TEMPLATES`` texts;
+their table is broadcast where its size, reckoned first, is within the bound.
 
 Defined results: null, empty and one-word texts match nothing; a unit may match several licences; several templates of
 one licence count as one, with the best coefficient; repeated (id, text) rows are reported once; ids may repeat.
@@ -22,6 +22,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithoframe.llm.textarr import BROADCAST_BYTES
+
 THRESHOLD = 0.8
 MOST_TEMPLATES = 2000
 #: Notices and paragraphs of common licences, as they are published.
@@ -97,6 +99,8 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     known = pivots(templates, threshold)
     table = spark.createDataFrame([(k, name, b, p) for k, (name, b, c) in enumerate(known) for p in c], "template int, license string, theirs array<string>, pivot string")
+    size = sum(len(c) * sum(2 * len(x) + 32 for x in b) for _, b, c in known)
+    table = F.broadcast(table) if size <= BROADCAST_BYTES else table
     sizes = [len(b) for _, b, _ in known] or [1]
     share = threshold / (2 - threshold)
     least, most = math.ceil(min(sizes) * share - 1e-9), math.floor(max(sizes) / share + 1e-9)
@@ -118,7 +122,7 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sized = cut.select("i", "unit", "place", bigrams.alias("own")).where(F.size("own").between(least, most))
     entries = sized.select("i", "unit", "place", "own", F.explode("own").alias("pivot"))
     small, large = F.least(F.size("own"), F.size("theirs")), F.greatest(F.size("own"), F.size("theirs"))
-    met = entries.join(F.broadcast(table), "pivot").where(small >= share * large - 1e-9)
+    met = entries.join(table, "pivot").where(small >= share * large - 1e-9)
     scored = met.select("i", "unit", "place", "license", (2 * F.size(F.array_intersect("own", "theirs")) / (F.size("own") + F.size("theirs"))).alias("dice"))
     best = scored.where(F.col("dice") >= threshold).groupBy("i", "unit", "place", "license").agg(F.max("dice").alias("dice"))
     return best.withColumnRenamed("i", id_col)

@@ -74,4 +74,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_revisits": warc_revisit.ORACLE, "op10_license_scan": license_dice.oracle()}
+    return {"op3_revisits": warc_revisit.ORACLE, "op6_contained_items": containment.ORACLE, "op10_license_scan": license_dice.oracle()}
