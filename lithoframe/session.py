@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="lithoframe-")
         shared_dir.own = at
     if spark.sparkContext.getCheckpointDir() is None:
