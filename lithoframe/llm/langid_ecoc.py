@@ -1,13 +1,14 @@
 """Language identification by error-correcting output codes.
 
 Each language has a codeword of bits. One logistic classifier per bit reads the hashed byte n-grams (1 to 3 bytes,
-ASCII letters lower-cased, everything else in ASCII as a space) of a whole text. Decoding adds up, for each language,
-the logistic losses of the bits against its codeword, each weighted by that bit's accuracy on the fitting rows, and takes
-the language of least loss; ``score`` is the soft-max share of that language, and ``ambiguous`` marks a text whose
-runner-up lies within ``margin`` of it.
+ASCII letters lower-cased, everything else in ASCII as a space) of a window of ``WINDOW`` bytes; windows cover the whole
+text. Decoding adds up, for each language, the logistic losses of the bits against its codeword, each weighted by that
+bit's accuracy on the fitting windows; the soft-max over languages is the window's share of each. A text takes the
+language of the greatest mean share over its windows, weighted by their letters, so a passage in another language counts
+by its length; ``score`` is that mean, and ``ambiguous`` marks a text whose runner-up lies within ``margin`` of it.
 
-Fitting reads at most about ``per_lang`` whole texts of each language, drawn by a hash of the id; that bound is a
-parameter. Prediction reads every whole text.
+Fitting reads at most about ``per_lang`` texts of each language, drawn by a hash of the id, and ``fit_windows`` evenly
+spaced windows of each; these bounds are parameters and bind fitting only. Prediction reads every window of every text.
 
 Defined results: null, empty and letterless texts get ``und`` with score 0.0; with no labelled rows at all every text
 is ``und``; ties between languages go to the one first in order of name; repeated rows each get their own result.
@@ -29,6 +30,7 @@ from lithoframe.llm.textarr import publish, utf8
 
 BITS = 11
 DIM = 1 << BITS
+WINDOW = 384
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.full(256, 32, np.uint32)
@@ -37,17 +39,20 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
-def features(b: np.ndarray) -> np.ndarray:
-    """Unit-length square-root frequencies of the hashed byte n-grams of a whole text."""
+def features(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of a text: unit-length square-root frequencies of its hashed byte n-grams, and how many bytes are letters."""
     e = np.concatenate([_FOLD[32:33], _FOLD[b], _FOLD[32:33]])
-    total = np.zeros(DIM, np.int64)
+    n = max(1, -(-len(b) // WINDOW))
+    at = np.minimum(np.arange(len(e)) // WINDOW, n - 1) * DIM
+    total = np.zeros(n * DIM, np.int64)
     g = e
-    for n, salt in ((1, 0x9E3779B1), (2, 0x85EBCA6B), (3, 0xC2B2AE35)):
-        if n > 1:
-            g = (g[:-1] << np.uint32(8)) | e[n - 1 :]
-        total += np.bincount(((g * np.uint32(salt)) >> np.uint32(32 - BITS)).astype(np.int64), minlength=DIM)
-    x = np.sqrt(total, dtype=np.float32)
-    return x / max(float(np.sqrt((x * x).sum())), 1e-9)
+    for k, salt in ((1, 0x9E3779B1), (2, 0x85EBCA6B), (3, 0xC2B2AE35)):
+        if k > 1:
+            g = (g[:-1] << np.uint32(8)) | e[k - 1 :]
+        total += np.bincount(at[: len(g)] + ((g * np.uint32(salt)) >> np.uint32(32 - BITS)).astype(np.int64), minlength=n * DIM)
+    x = np.sqrt(total.reshape(n, DIM), dtype=np.float32)
+    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+    return x, np.bincount(at // DIM, weights=e != 32, minlength=n)
 
 
 def has_letter(b: np.ndarray | None) -> bool:
@@ -81,17 +86,25 @@ class Ecoc:
     def size(self) -> int:
         return self.w.nbytes + self.code.nbytes
 
-    def decode(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of feature rows: place of the language, score, whether it is ambiguous."""
+    def shares(self, x: np.ndarray) -> np.ndarray:
+        """Of feature rows: the soft-max share of each language."""
         z = x @ self.w + self.bias
         loss = np.zeros((len(x), len(self.langs)))
         for k in range(len(self.langs)):
             loss[:, k] = (np.logaddexp(0, -z * self.code[k]) * self.weight).sum(1)
         p = np.exp((loss.min(1, keepdims=True) - loss) * (4 / len(self.weight)))  # softened: bits of one text err together
-        p /= p.sum(1, keepdims=True)
-        best = loss.argmin(1)
-        top = np.sort(p, 1)
-        return best, top[:, -1], (top[:, -1] - top[:, -2] < margin) if p.shape[1] > 1 else np.zeros(len(x), bool)
+        return p / p.sum(1, keepdims=True)
+
+    def decode(self, b: np.ndarray, margin: float, block: int = 1 << 18) -> tuple[str, float, bool]:
+        """Language, score and whether it is ambiguous, of a whole text taken in blocks of whole windows."""
+        total, weight, step = np.zeros(len(self.langs)), 0.0, block // WINDOW * WINDOW
+        for at in range(0, max(1, len(b)), step):
+            x, letters = features(b[at : at + step])
+            total += letters @ self.shares(x)
+            weight += float(letters.sum())
+        p = total / max(weight, 1e-9)
+        top = np.sort(p)
+        return self.langs[int(p.argmax())], float(min(1.0, top[-1])), bool(len(p) > 1 and top[-1] - top[-2] < margin)
 
 
 def fit_matrix(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 120, l2: float = 1e-6) -> Ecoc:
@@ -117,14 +130,26 @@ def fit_matrix(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 120,
     return Ecoc(langs, code, w.astype(np.float32), b.astype(np.float32), weight / weight.sum() * len(weight))
 
 
-@F.arrow_udf(BinaryType())
-def _packed(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for arr in it:
-        yield pa.array([features(b).astype(np.float16).tobytes() if has_letter(b) else None for b in utf8(arr)], pa.binary())
+def _packed(fit_windows: int):
+    @F.arrow_udf(BinaryType())
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for arr in it:
+            out = []
+            for b in utf8(arr):
+                if not has_letter(b):
+                    out.append(None)
+                    continue
+                n = -(-len(b) // WINDOW)
+                pick = np.unique(np.linspace(0, n - 1, min(n, fit_windows)).round().astype(int))
+                x = np.concatenate([features(b[k * WINDOW : (k + 1) * WINDOW])[0] for k in pick])
+                out.append(x.astype(np.float16).tobytes())
+            yield pa.array(out, pa.binary())
 
+    return run
 
-def fit(docs: DataFrame, text_col: str, label_col: str, id_col: str, per_lang: int = 1000, max_langs: int = 500) -> Ecoc | None:
-    """Fit on a bounded sample of the labelled rows given. Sends at most per_lang * max_langs feature rows to the driver."""
+
+def fit(docs: DataFrame, text_col: str, label_col: str, id_col: str, per_lang: int = 600, max_langs: int = 500, fit_windows: int = 4) -> Ecoc | None:
+    """Fit on a bounded sample of the labelled rows given. Sends about per_lang * fit_windows feature rows (4 KB) a language to the driver."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).alias("l")).where("l is not null and t is not null")
     counts = sorted((r.l, r.n) for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect())
     if not counts:
@@ -133,14 +158,15 @@ def fit(docs: DataFrame, text_col: str, label_col: str, id_col: str, per_lang: i
         raise ValueError(f"more than {max_langs} languages")
     draw = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, per_lang / n))]), F.col("l"))
-    sample = rows.where(draw < share).select("i", "l", _packed("t").alias("x")).where("x is not null").collect()
+    sample = rows.where(draw < share).select("i", "l", _packed(fit_windows)("t").alias("x")).where("x is not null").collect()
     if not sample:
         return None
     sample.sort(key=lambda r: (r.l, str(r.i), bytes(r.x)))
     langs = sorted({r.l for r in sample})
     at = {lang: k for k, lang in enumerate(langs)}
-    x = np.stack([np.frombuffer(r.x, np.float16) for r in sample]).astype(np.float32)
-    return fit_matrix(x, np.array([at[r.l] for r in sample]), langs)
+    rows_of = [np.frombuffer(r.x, np.float16).reshape(-1, DIM) for r in sample]
+    y = np.repeat([at[r.l] for r in sample], [len(x) for x in rows_of])
+    return fit_matrix(np.concatenate(rows_of).astype(np.float32), y, langs)
 
 
 def predict(text: F.Column, model: Ecoc | None, spark, margin: float = 0.1) -> F.Column:
@@ -151,28 +177,10 @@ def predict(text: F.Column, model: Ecoc | None, spark, margin: float = 0.1) -> F
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for arr in it:
-            names, scores, unsure = [UND] * len(arr), np.zeros(len(arr)), np.zeros(len(arr), bool)
-            held: list[int] = []
-            rows: list[np.ndarray] = []
-
-            def flush():
-                if rows:
-                    best, p, close = m.decode(np.stack(rows), margin)
-                    for k, n in enumerate(held):
-                        names[n] = m.langs[best[k]]
-                    scores[held], unsure[held] = p, close
-                    held.clear()
-                    rows.clear()
-
+            names, scores, unsure = [UND] * len(arr), np.zeros(len(arr)), np.ones(len(arr), bool)
             for n, b in enumerate(utf8(arr)):
-                if m is None or not has_letter(b):
-                    unsure[n] = True
-                    continue
-                held.append(n)
-                rows.append(features(b))
-                if len(rows) == 256:
-                    flush()
-            flush()
+                if m is not None and has_letter(b):
+                    names[n], scores[n], unsure[n] = m.decode(b, margin)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores), pa.array(unsure)], names=["lang_pred", "score", "ambiguous"])
 
     return run(text)
