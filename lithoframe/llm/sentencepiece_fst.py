@@ -329,7 +329,7 @@ class Transducer:
             parts = [x for p in parts for x in (re.split("(\n)", p) if "\n" in p else (p,))]
         return [p for p in parts if p]
 
-    def encode_all(self, texts: list[str | None], most_words: int = 200_000) -> list[np.ndarray]:
+    def encode_all(self, texts: list[str | None], most_words: int = 150_000) -> list[np.ndarray]:
         """Ids of each whole text."""
         split = [self.units(self.normalise(t or "")) for t in texts]
         if len(self.words) > most_words:  # two generations: words met again lately stay
@@ -364,7 +364,7 @@ def encode(text: Column, model) -> Column:
         t = model.value
         for arr in it:
             ids, n_bytes, sha, same = [], [], [], []
-            for part in pieces_of(arr, 512):
+            for part in pieces_of(arr, 256):
                 texts = part.to_pylist()
                 for x, got in zip(texts, t.encode_all(texts)):
                     back = t.decode(got)
