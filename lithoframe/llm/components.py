@@ -49,3 +49,26 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def one_row_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, broadcast_rows: int = 1 << 20) -> DataFrame:
+    """The rows of docs with one left of each component, the one of least (non-null id, text hash); of equal rows, one.
+
+    ``found`` has (_i, _h, _c) for each row: its id, the xxhash64 of its text, its component's own identity. Rows to leave
+    out are broadcast up to ``broadcast_rows`` of them; beyond that the join is shuffled. Columns stay as they are.
+    """
+    rows = written(found.groupBy("_i", "_h").agg(F.min("_c").alias("_c"), F.count(F.lit(1)).alias("n")), "rows")
+    least = rows.groupBy("_c").agg(F.min(F.struct(F.col("_i").isNull().alias("none"), "_i", "_h")).alias("m"))
+    kept = written(least.select(F.col("m._i").alias("_k"), F.col("m._h").alias("_g")), "kept")
+    is_kept = F.col("_i").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_g"))
+    again = written(rows.where("n > 1").join(kept, is_kept, "left_semi").select("_i", "_h"), "again")
+    gone = written(rows.join(kept, is_kept, "left_anti").select("_i", "_h").union(again), "gone")
+    few = gone.count() <= broadcast_rows
+
+    def same(ids: DataFrame):
+        return docs[id_col].eqNullSafe(ids["_i"]) & (F.xxhash64(docs[text_col]) == ids["_h"])
+
+    rest = docs.join(F.broadcast(gone) if few else gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return rest
+    return rest.union(docs.join(F.broadcast(again) if few else again, same(again), "left_semi").dropDuplicates([id_col, text_col]))

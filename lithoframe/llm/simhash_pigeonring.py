@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.components import components, written
+from lithoframe.llm.components import components, one_row_each, written
 from lithoframe.llm.textarr import utf8
 
 SEGMENTS, WIDTH, BUDGET = 4, 16, 3
@@ -151,35 +151,25 @@ def link_fingerprints(fps: DataFrame, block: int = 1024) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> DataFrame:
-    """One row per input row: id, fingerprint (16 hex digits), component_id."""
-    fps = written(docs.select(F.col(id_col).alias("i"), simhash(F.col(text_col)).alias("fp")), "fingerprints")
+def _found(docs: DataFrame, id_col: str, text_col: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """(i, h, fp) of every row, h the text's xxhash64; and (fp, root, component_id), root the component's least fingerprint."""
+    fps = written(docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), simhash(F.col(text_col)).alias("fp")), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("i").alias("least")), "classes")
     roots = written(components(link_fingerprints(classes.select("fp"), block)), "roots")
     members = roots.join(classes, roots.node == classes.fp).select("fp", "root", "least")
     tops = members.groupBy("root").agg(F.min("least").alias("top"))
-    reached = written(members.join(tops, "root").select("fp", "top"), "reached")
-    named = written(classes.join(reached, "fp", "left").select("fp", F.when(F.col("top").isNull(), F.col("least")).otherwise(F.col("top")).alias("component_id")), "named")
+    reached = written(members.join(tops, "root").select("fp", "root", "top"), "reached")
+    return fps, written(classes.join(reached, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("top").isNull(), F.col("least")).otherwise(F.col("top")).alias("component_id")), "named")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> DataFrame:
+    """One row per input row: id, fingerprint (16 hex digits), component_id."""
+    fps, named = _found(docs, id_col, text_col, block)
     return fps.join(named, "fp").select(F.col("i").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1 << 20) -> DataFrame:
-    """The documents with one of each component left, the one whose id names it; of repeated rows of that id, one.
-
-    Ids to leave out are broadcast up to ``broadcast_rows`` of them; beyond that the join is shuffled. Columns stay as
-    they are.
-    """
-    found = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_i"), F.col("fingerprint").alias("_f"), F.col("component_id").alias("_c"))
-    found = written(found, "found")
-    again = written(found.groupBy("_i").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_i"), "again")
-    gone = written(found.where("not (_i <=> _c)").select("_i").union(again).distinct(), "gone")
-    few = gone.count() <= broadcast_rows
-    rest = docs.join(F.broadcast(gone) if few else gone, docs[id_col].eqNullSafe(gone["_i"]), "left_anti")
-    if again.isEmpty():
-        return rest
-    # Ids that stand on several rows: a row's component is found by its own fingerprint.
-    several = docs.join(F.broadcast(again) if few else again, docs[id_col].eqNullSafe(again["_i"]), "left_semi").withColumn("_f", F.lpad(F.lower(F.hex(simhash(F.col(text_col)))), 16, "0"))
-    names = found.join(again, found["_i"].eqNullSafe(again["_i"]), "left_semi").distinct()
-    met = several.join(names.withColumnRenamed("_f", "_g"), several[id_col].eqNullSafe(names["_i"]) & (F.col("_f") == F.col("_g"))).where("_i <=> _c")
-    w = Window.partitionBy("_i", "_c").orderBy(F.xxhash64(text_col), F.col("_f"))
-    return rest.union(met.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*docs.columns))
+    """The documents with one row of each component left, whatever its ids are: the row of least non-null id."""
+    fps, named = _found(docs, id_col, text_col, 1024)
+    found = fps.join(named, "fp").select(F.col("i").alias("_i"), F.col("h").alias("_h"), F.col("root").alias("_c"))
+    return one_row_each(docs, found, id_col, text_col, broadcast_rows)
