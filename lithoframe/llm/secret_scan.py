@@ -3,7 +3,7 @@
 Base kinds (leftmost, non-overlapping within a kind): ``assign``, ``access``, ``hex``. Each base span stays as found.
 The novelty kind measures how many bytes a candidate adds to a zstandard frame whose raw dictionary holds a list of
 common identifiers and the text around the candidate. A string that repeats or resembles its surroundings adds few
-bytes; a key adds about its own length. Candidates stand within ``reach`` characters after a sensitive word, are at
+bytes; a key adds about its own length, or as much as a random string of its alphabet does. Candidates stand within ``reach`` characters after a sensitive word, are at
 least ``least`` characters long, mix letters and digits, and overlap no base span.
 
 Defined results: null text is read as empty; empty text has no spans; texts are scanned whole whatever their length;
@@ -13,8 +13,10 @@ repeated rows each get their own result; an empty table gives an empty result. O
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,20 +53,62 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-class Novelty:
-    """Marginal compressed bytes of a candidate, given the identifiers and the text around it."""
+#: Alphabets of keys, the narrowest first.
+ALPHABETS = tuple((re.compile(f"[{c}]+"), signs) for c, signs in (
+    ("0-9a-f", "0123456789abcdef"), ("0-9A-F", "0123456789ABCDEF"), ("A-Z0-9=", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("a-z0-9", "abcdefghijklmnopqrstuvwxyz0123456789"), ("A-Za-z0-9+/_.=-", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+))
+
+
+def _added(value: bytes, prime: bytes) -> int:
+    import zstandard as z
+
+    d = z.ZstdCompressionDict(prime, dict_type=z.DICT_TYPE_RAWCONTENT)
+    params = z.ZstdCompressionParameters.from_level(19, write_content_size=False, write_checksum=False, write_dict_id=False, window_log=20)
+    c = z.ZstdCompressor(dict_data=d, compression_params=params)
+    return len(c.compress(value)) - len(c.compress(b""))
 
-    def __init__(self, least: int = 16, reach: int = 64, around: int = 1024, ratio: float = 0.8):
-        self.least, self.reach, self.around, self.ratio = least, reach, around, ratio
+
+@lru_cache(4096)
+def random_added(alphabet: int, length: int) -> int:
+    """The bytes that a random string of an alphabet and length adds."""
+    return _added("".join(random.Random(length).choices(ALPHABETS[alphabet][1], k=length)).encode(), IDENTIFIERS.encode())
+
+
+class Novelty:
+    """Marginal compressed bytes of a candidate, given the identifiers and the text around it.
+
+    It is novel if it adds ``ratio`` of its length, or ``likeness`` of what a random string of its alphabet and length
+    adds: zstandard codes the signs of long strings in fewer bits. Other copies of it are no part of the text around it,
+    unless ``common`` of them or more stand there away from sensitive words.
+    """
+
+    def __init__(self, least: int = 16, reach: int = 64, around: int = 1024, ratio: float = 0.8, likeness: float = 0.9, common: int = 8):
+        self.least, self.reach, self.around, self.ratio, self.likeness, self.common = least, reach, around, ratio, likeness, common
+
+    def surroundings(self, text: str, start: int, end: int) -> str:
+        """The text after and before a candidate without its other copies, whole or cut by the window's edge."""
+        own, n = text[start:end], end - start
+        lo, hi = max(0, start - self.around - n), min(len(text), end + self.around + n)
+        before, after = text[lo:start], text[end:hi]
+        if own not in before and own not in after:
+            return text[end : end + self.around] + text[max(0, start - self.around) : start]
+        copies = [m.start() for m in re.finditer(re.escape(own), text[lo:hi]) if m.start() + lo != start]
+        ordinary = sum(1 for k in copies if not SENSITIVE.search(text, max(0, lo + k - self.reach - 16), lo + k))
+        if ordinary >= self.common:
+            return text[end : end + self.around] + text[max(0, start - self.around) : start]
+        before, after = before.replace(own, ""), after.replace(own, "")
+        return (after[: max(0, len(after) - n)] if hi < len(text) else after) + (before[n:] if lo > 0 else before)
 
     def added(self, text: str, start: int, end: int) -> int:
-        import zstandard as z
+        return _added(text[start:end].encode(), (IDENTIFIERS + self.surroundings(text, start, end)).encode("utf-8", "replace"))
 
-        before, after = text[max(0, start - self.around) : start], text[end : end + self.around]
-        prime = z.ZstdCompressionDict((IDENTIFIERS + after + before).encode("utf-8", "replace"), dict_type=z.DICT_TYPE_RAWCONTENT)
-        params = z.ZstdCompressionParameters.from_level(19, write_content_size=False, write_checksum=False, write_dict_id=False, window_log=20)
-        c = z.ZstdCompressor(dict_data=prime, compression_params=params)
-        return len(c.compress(text[start:end].encode())) - len(c.compress(b""))
+    def novel(self, text: str, start: int, end: int) -> bool:
+        got, n = self.added(text, start, end), end - start
+        if got >= self.ratio * n:
+            return True
+        kind = next(k for k, (signs, _) in enumerate(ALPHABETS) if signs.fullmatch(text, start, end))
+        return got >= self.likeness * random_added(kind, n)
 
     def spans(self, text: str, low: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
         if not any(w in low for w in SENSITIVE_WORDS):
@@ -83,7 +127,7 @@ class Novelty:
                     continue
                 if any(a < e and s < b for a, _, b in taken):
                     continue
-                if self.added(text, s, e) >= self.ratio * (e - s):
+                if self.novel(text, s, e):
                     found.append((s, 3, e))
         return found
 
