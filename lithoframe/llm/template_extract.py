@@ -4,12 +4,13 @@ A page is a sequence of tokens: each start tag in its context (the path of tags,
 block in its context. The occurrence vector of a token is how often it stands on each page of a host; it is kept as the
 number of those pages and a commutative hash over (page, count), so vectors are aggregated before any shuffle and no
 host's pages ever meet in one task. Tokens of one host with equal vectors on enough pages form an equivalence class;
-classes of at least two tokens are valid. They nest by their contexts into the host's template; what stands between
+classes of at least two tokens are valid.
+Pages of one block sequence have one vote, however many there are. They nest by their contexts into the host's template; what stands between
 their tokens are slots. A text block that is itself a template token is boilerplate.
 
 Extraction walks a page again with its host's template. Elements whose tag, role, class or id mark menus, headers,
 footers, sidebars, notices, adverts, forms or reader comments are left out with all they hold, as are boilerplate
-blocks. The main slots are those within ``article`` (else ``main``) elements; without either, the template container
+blocks (those in an article only while they are less than half of it). The main slots are those within ``article`` (else ``main``) elements; without either, the template container
 that holds most of the remaining text. White space inside a block becomes one space; blocks are joined by two line feeds.
 
 Defined results: null and empty html give the empty text; broken markup never fails (tags close as in browsers, as far as
@@ -210,9 +211,14 @@ def page_tokens(walk: Walk) -> Counter[int]:
     return out
 
 
-def main_text(walk: Walk, template: frozenset[int], full: bool) -> str:
-    """The main text. ``full``: the host has enough pages for repeated text in an article to count as boilerplate."""
-    left = []
+def main_text(walk: Walk, template: frozenset[int], full: bool = True) -> str:
+    """The main text. ``full``: repeated text in an article counts as boilerplate, unless it is half of the article or more."""
+    left, size, common = [], 0, 0
+    for path, kept, art, main, _, t in walk.blocks:
+        if kept and (art or main):
+            size += len(t)
+            common += len(t) * (_hash(path, t) in template)
+    full = full and 2 * common < size
     for path, kept, art, main, container, t in walk.blocks:
         if kept and not (_hash(path, t) in template and (full or not (art or main))):
             left.append((art, main, container, t))
@@ -230,9 +236,15 @@ def main_text(walk: Walk, template: frozenset[int], full: bool) -> str:
     return "\n\n".join(t for _, _, c, t in left if c == best or c.startswith(best + "/"))
 
 
+def _vote(walk: Walk) -> int:
+    """A hash of a page's block sequence: pages of one host that share it have one vote."""
+    return xxhash.xxh64_intdigest("\x00".join(f"{path}\x01{t}" for path, _, _, _, _, t in walk.blocks).encode("utf-8", "replace"), 3) >> 1
+
+
 def tokens(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(host, page, token, n): the tokens of every page."""
-    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("n", pa.int64())])
+    """(host, page, token, n): the tokens of one page of each distinct block sequence of a host."""
+    kinds = [("host", pa.string()), ("page", pa.int64()), ("tokens", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64()))]
+    schema = pa.schema(kinds)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -240,15 +252,17 @@ def tokens(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
                 part = batch.slice(at, 128)
                 hosts, page, token, n = [], [], [], []
                 for u, h in zip(part.column("u").to_pylist(), part.column("h").to_pylist()):
-                    got = page_tokens(Walk(h or ""))
-                    key = (xxhash.xxh64_intdigest(f"{u}\x00", 3) ^ xxhash.xxh64_intdigest(h or "", 4)) >> 1
-                    hosts += [host_of(u)] * len(got)
-                    page += [key] * len(got)
-                    token += got.keys()
-                    n += got.values()
+                    walk = Walk(h or "")
+                    got = page_tokens(walk)
+                    hosts.append(host_of(u))
+                    page.append(_vote(walk))
+                    token.append(list(got.keys()))
+                    n.append(list(got.values()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((hosts, page, token, n), schema)], schema=schema)
 
-    return pages.select(F.col(url_col).alias("u"), F.col(html_col).alias("h")).mapInArrow(run, "host string, page long, token long, n long")
+    seen = pages.select(F.col(url_col).alias("u"), F.col(html_col).alias("h")).mapInArrow(run, "host string, page long, tokens array<long>, ns array<long>")
+    one = seen.dropDuplicates(["host", "page"])
+    return one.select("host", "page", F.explode(F.arrays_zip("tokens", "ns")).alias("z")).select("host", "page", F.col("z.tokens").alias("token"), F.col("z.ns").alias("n"))
 
 
 def deduce(pages: DataFrame, url_col: str = "url", html_col: str = "html", support: float = 0.6, least_pages: int = 3) -> DataFrame:
@@ -262,10 +276,10 @@ def deduce(pages: DataFrame, url_col: str = "url", html_col: str = "html", suppo
     return frequent.groupBy("host", "host_pages", F.xxhash64("x", "s", "on_pages").alias("class")).agg(F.max("on_pages").alias("class_pages"), F.sort_array(F.collect_list("token")).alias("tokens")).where(F.size("tokens") >= 2)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.6, full_pages: int = 8, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.6, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per input row: id, url, text, n_chars."""
     classes = deduce(pages, url_col, html_col, support)
-    templates = written(classes.groupBy("host").agg(F.max("host_pages").alias("host_pages"), F.flatten(F.collect_list("tokens")).alias("template")), "templates")
+    templates = written(classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template")), "templates")
     size = templates.agg(F.coalesce(F.sum(F.size("template") * 8 + F.length("host") + 64), F.lit(0))).first()[0]
 
     @F.arrow_udf("string")
@@ -274,21 +288,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.array([host_of(u) for u in arr.to_pylist()], pa.string())
 
     @F.arrow_udf("string")
-    def text(it: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def text(it: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         held: dict[str, frozenset[int]] = {}
-        for html, hosts, template, n in it:
+        for html, hosts, template in it:
             out = []
-            for h, k, t, m in zip(pieces_of(html, 64), pieces_of(hosts, 64), pieces_of(template, 64), pieces_of(n, 64)):
-                for j, (page, name, many) in enumerate(zip(h.to_pylist(), k.to_pylist(), m.to_pylist())):
+            for h, k, t in zip(pieces_of(html, 64), pieces_of(hosts, 64), pieces_of(template, 64)):
+                for j, (page, name) in enumerate(zip(h.to_pylist(), k.to_pylist())):
                     if name not in held:
                         if len(held) > 1000:
                             held.clear()
                         held[name] = frozenset(t[j].as_py() or ())
-                    out.append(main_text(Walk(page or ""), held[name], (many or 0) >= full_pages))
+                    out.append(main_text(Walk(page or ""), held[name]))
             yield pa.array(out, pa.string())
 
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("_html"), host(F.col(url_col)).alias("_host"))
-    small = templates.select(F.col("host").alias("_host"), "host_pages", "template")
+    small = templates.select(F.col("host").alias("_host"), "template")
     met = rows.join(F.broadcast(small) if size <= broadcast_bytes else small, "_host", "left")
-    done = met.select(F.col(id_col), F.col(url_col), text("_html", "_host", "template", "host_pages").alias("text"))
+    done = met.select(F.col(id_col), F.col(url_col), text("_html", "_host", "template").alias("text"))
     return done.withColumn("n_chars", F.length("text").cast("long"))
