@@ -10,8 +10,8 @@ their tokens are slots. A text block that is itself a template token is boilerpl
 
 Extraction walks a page again with its host's template. Elements whose tag, role, class or id mark menus, headers,
 footers, sidebars, notices, adverts, forms or reader comments are left out with all they hold, as are boilerplate
-blocks (those in an article only while they are less than half of it). The main slots are those within ``article`` (else ``main``) elements; without either, the template container
-that holds most of the remaining text. White space inside a block becomes one space; blocks are joined by two line feeds.
+blocks (those in an article only while they are less than half of it). The main slots are those within ``article`` (else ``main``) elements; without either, the deepest
+container that holds nearly all of the remaining text. White space inside a block becomes one space; blocks are joined by two line feeds.
 
 Defined results: null and empty html give the empty text; broken markup never fails (tags close as in browsers, as far as
 blocks are concerned); hosts with few pages have no template and rely on the marks alone; a null url is a host of its
@@ -56,6 +56,8 @@ CHROME = frozenset(
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 KEEP, HEADING_ONLY, DROP = 0, 1, 2
+#: The part of a page's text that its main container must hold where no article or main marks it.
+NEARLY_ALL = 0.9
 
 
 def host_of(url: str | None) -> str:
@@ -227,12 +229,18 @@ def main_text(walk: Walk, template: frozenset[int], full: bool = True) -> str:
             return "\n\n".join(b[3] for b in left if b[place])
     if not left:
         return ""
-    # No marked region: the template container (else any container) whose slots hold most text.
-    weight: Counter[str] = Counter()
+    # No marked region: the deepest container that holds nearly all of the text, with what is below it.
+    own: Counter[str] = Counter()
     for _, _, c, t in left:
-        weight[c] += len(t)
-    known = [c for c in weight if _hash(c) in template]
-    best = max(known or weight, key=lambda c: (weight[c], -len(c)))
+        own[c] += len(t)
+    below: Counter[str] = Counter()
+    for c, n in own.items():
+        parts = c.split("/")
+        for k in range(len(parts)):
+            below["/".join(parts[: k + 1])] += n
+    total = sum(own.values())
+    # Such containers lie above each other; of two of one depth, which only odd labels give, the template's counts.
+    best = max((c for c, n in below.items() if n >= NEARLY_ALL * total), key=lambda c: (c.count("/"), _hash(c) in template))
     return "\n\n".join(t for _, _, c, t in left if c == best or c.startswith(best + "/"))
 
 
