@@ -198,8 +198,10 @@ def without_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     model = load_items(items, item_id, item_text, n, threshold, broadcast_bytes)
     if model is not None:
         return docs.where(~holds_item(F.col(text_col), model))
-    found = find_contained(docs, items, id_col, text_col, item_id, item_text, n, threshold, broadcast_bytes).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["_found"]), "left_anti")
+    # Rows are told apart by id and text, so that both forms judge each row by its own text.
+    rows = docs.select(F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h")).alias("doc_id"), F.col(text_col).alias("doc_text"))
+    found = _joined(rows, _clean(items, item_id, item_text), n, threshold).select(F.col("doc_id.i").alias("_found"), F.col("doc_id.h").alias("_hash")).distinct()
+    return docs.join(found, docs[id_col].eqNullSafe(found["_found"]) & (F.xxhash64(docs[text_col]) == found["_hash"]), "left_anti")
 
 
 #: The query's rows in DuckDB: every shingle of every document against every item's shingles.
