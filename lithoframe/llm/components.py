@@ -15,7 +15,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/lithoframe-{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more: what was made of them has been written itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -41,7 +50,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Small star: a node and its neighbours below move to the least of them.
         low = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         moved = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = written(moved.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        old, now = now, written(moved.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        drop(old, least, large, low)
         after = _state(now)
         if after == before:
             break
@@ -63,6 +73,7 @@ def one_row_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str,
     is_kept = F.col("_i").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_g"))
     again = written(rows.where("n > 1").join(kept, is_kept, "left_semi").select("_i", "_h"), "again")
     gone = written(rows.join(kept, is_kept, "left_anti").select("_i", "_h").union(again), "gone")
+    drop(rows, kept)
     few = gone.count() <= broadcast_rows
 
     def same(ids: DataFrame):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.components import components, one_row_each, written
+from lithoframe.llm.components import components, drop, one_row_each, written
 from lithoframe.llm.textarr import utf8
 
 SEGMENTS, WIDTH, BUDGET = 4, 16, 3
@@ -159,7 +159,9 @@ def _found(docs: DataFrame, id_col: str, text_col: str, block: int) -> tuple[Dat
     members = roots.join(classes, roots.node == classes.fp).select("fp", "root", "least")
     tops = members.groupBy("root").agg(F.min("least").alias("top"))
     reached = written(members.join(tops, "root").select("fp", "root", "top"), "reached")
-    return fps, written(classes.join(reached, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("top").isNull(), F.col("least")).otherwise(F.col("top")).alias("component_id")), "named")
+    named = written(classes.join(reached, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("top").isNull(), F.col("least")).otherwise(F.col("top")).alias("component_id")), "named")
+    drop(classes, roots, reached)
+    return fps, named
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -163,7 +161,3 @@ def publish(spark: SparkSession, obj, size: int):
 
 def id_text_crc(col) -> F.Column:
     return F.crc32(col.cast("string").cast("binary"))
-
-
-def temp_folder() -> str:
-    return os.environ.get("TMPDIR", tempfile.gettempdir())
