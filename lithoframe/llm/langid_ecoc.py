@@ -7,8 +7,9 @@ bit's accuracy on the fitting windows; the soft-max over languages is the window
 language of the greatest mean share over its windows, weighted by their letters, so a passage in another language counts
 by its length; ``score`` is that mean, and ``ambiguous`` marks a text whose runner-up lies within ``margin`` of it.
 
-Fitting reads at most about ``per_lang`` texts of each language, drawn by a hash of the id, and ``fit_windows`` evenly
-spaced windows of each; these bounds are parameters and bind fitting only. Prediction reads every window of every text.
+Fitting reads at most about ``per_lang`` texts of each language (fewer where ``fit_bytes`` for all languages together
+would not do), drawn by a hash of id and text, and ``fit_windows`` evenly spaced windows of each; equal rows count once.
+These bounds are parameters and bind fitting only. Prediction reads every window of every text.
 
 Defined results: null, empty and letterless texts get ``und`` with score 0.0; with no labelled rows at all every text
 is ``und``; ties between languages go to the one first in order of name; repeated rows each get their own result.
@@ -148,24 +149,32 @@ def _packed(fit_windows: int):
     return run
 
 
-def fit(docs: DataFrame, text_col: str, label_col: str, id_col: str, per_lang: int = 600, max_langs: int = 500, fit_windows: int = 4) -> Ecoc | None:
-    """Fit on a bounded sample of the labelled rows given. Sends about per_lang * fit_windows feature rows (4 KB) a language to the driver."""
+def sample(docs: DataFrame, text_col: str, label_col: str, id_col: str, per_lang: int = 600, max_langs: int = 500, fit_windows: int = 4, fit_bytes: int = 96 << 20) -> list:
+    """At most about ``per_lang`` rows (i, l, x) of each language on the driver, and at most about ``fit_bytes`` in all: a window takes 4 KB."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).alias("l")).where("l is not null and t is not null")
-    counts = sorted((r.l, r.n) for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect())
+    # Rows are drawn, not ids, so an id on many rows weighs as they do; equal rows are drawn together and count once.
+    rows = rows.withColumn("key", F.xxhash64(F.col("i").cast("string"), F.col("t"), F.lit("langid")))
+    counts = sorted((r.l, r.n) for r in rows.groupBy("l").agg(F.approx_count_distinct("key").alias("n")).limit(max_langs + 1).collect())
     if not counts:
-        return None
+        return []
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
-    draw = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, per_lang / n))]), F.col("l"))
-    sample = rows.where(draw < share).select("i", "l", _packed(fit_windows)("t").alias("x")).where("x is not null").collect()
-    if not sample:
+    most = max(1, min(per_lang, fit_bytes // (len(counts) * fit_windows * DIM * 2)))
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, most / max(n, 1)))]), F.col("l"))
+    drawn = rows.where(F.pmod(F.col("key"), F.lit(1 << 30)) / float(1 << 30) < share)
+    once = drawn.dropDuplicates(["l", "key"]).select("i", "l", _packed(fit_windows)("t").alias("x")).where("x is not null").collect()
+    return sorted(once, key=lambda r: (r.l, str(r.i), bytes(r.x)))
+
+
+def fit(docs: DataFrame, text_col: str, label_col: str, id_col: str, **bounds) -> Ecoc | None:
+    """Fit on a bounded sample of the labelled rows given; ``bounds`` are those of ``sample``."""
+    rows = sample(docs, text_col, label_col, id_col, **bounds)
+    if not rows:
         return None
-    sample.sort(key=lambda r: (r.l, str(r.i), bytes(r.x)))
-    langs = sorted({r.l for r in sample})
+    langs = sorted({r.l for r in rows})
     at = {lang: k for k, lang in enumerate(langs)}
-    rows_of = [np.frombuffer(r.x, np.float16).reshape(-1, DIM) for r in sample]
-    y = np.repeat([at[r.l] for r in sample], [len(x) for x in rows_of])
+    rows_of = [np.frombuffer(r.x, np.float16).reshape(-1, DIM) for r in rows]
+    y = np.repeat([at[r.l] for r in rows], [len(x) for x in rows_of])
     return fit_matrix(np.concatenate(rows_of).astype(np.float32), y, langs)
 
 

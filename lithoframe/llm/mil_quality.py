@@ -5,8 +5,9 @@ is encoded as shares of byte-class bigrams plus a few counts (among them words t
 attention, softmax over passages of ``w . (tanh(V h) * sigmoid(U h))``; a logistic unit scores the weighted passage
 representation. Weights are learned from document labels alone, by Adam over minibatches of whole bags.
 
-Fitting reads a sample of at most about ``max_docs`` labelled rows drawn by a hash of the id, and of a bag with more
-than ``max_passages`` passages it uses that many, evenly spaced; both bounds are parameters and bind fitting only.
+Fitting reads a sample of at most about ``max_docs`` labelled rows, drawn by a hash of the id and then by one of id and
+text (so an id on many rows can't exceed it; equal rows count once), and of a bag with more than ``max_passages``
+passages it uses that many, evenly spaced; both bounds are parameters and bind fitting only.
 Scoring reads every passage of every whole text, a block of passages at a time with a running softmax.
 
 Defined results: null and empty texts are a bag of one empty passage and are scored like any other; with no labelled
@@ -161,18 +162,27 @@ def _bags(max_passages: int):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 3000, max_passages: int = 32, **settings) -> Attention:
-    """Fit on a bounded sample of the rows that have a label. Sends at most about max_docs * max_passages passages (0.9 KB each) to the driver."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 3000, max_passages: int = 32) -> list:
+    """At most about max_docs rows (i, y, x) on the driver, each of up to max_passages passages (0.9 KB each)."""
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y"))
-    n = known.count()
-    draw = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.where(draw < min(1.0, max_docs / max(n, 1)))
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(picked), "i").select("i", "y", _bags(max_passages)("t").alias("x")).collect()
+
+    def drawn(key: F.Column, n: int) -> F.Column:
+        return F.pmod(key, F.lit(1 << 30)) / float(1 << 30) < min(1.0, max_docs / max(n, 1))
+
+    picked = F.broadcast(known.where(drawn(F.xxhash64(F.col("i").cast("string"), F.lit("quality")), known.count())))
+    key = F.xxhash64(F.col("i").cast("string"), F.col("t"), F.lit("rows"))
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(picked, "i").withColumn("key", key)
+    once = rows.where(drawn(F.col("key"), rows.select(F.approx_count_distinct("key")).first()[0])).dropDuplicates(["i", "key"]).select("i", "y", _bags(max_passages)("t").alias("x")).collect()
+    return sorted(once, key=lambda r: (str(r.i), bytes(r.x)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 3000, max_passages: int = 32, **settings) -> Attention:
+    """Fit on a bounded sample of the rows that have a label."""
+    rows = sample(docs, labels, id_col, text_col, label_col, max_docs, max_passages)
     model = Attention()
     if len({r.y for r in rows}) < 2:
         model.constant = float(rows[0].y) if rows else 0.5
         return model
-    rows.sort(key=lambda r: (str(r.i), bytes(r.x)))
     return model.fit([np.frombuffer(r.x, np.float16).reshape(-1, DIM).astype(np.float32) for r in rows], np.array([r.y for r in rows], np.float32), **settings)
 
 
