@@ -1,28 +1,34 @@
 """Not-modified revisits resolved against the response they stand for.
 
 Records (id, ts, kind, url, etag, last_modified, digest, headers) are joined as-of: a ``revisit`` record takes, among the
-``response`` records of its canonical URL, the one of latest ts strictly before its own; equal ts go to the greater id.
+full ``response`` records of its canonical URL, the one of latest ts strictly before its own; equal ts go to the greater
+id. Where records have a column ``status``, only a response of status 200 is full: a partial or error response isn't.
 Its validators are then checked: entity tags if both have one (weak prefix ignored), else last-modified if both have
 one, else payload digests if both have one. Where they agree (or none can be compared) the headers of the response are
 taken, with those that a 304 may update replaced by the revisit's.
 
 The join is cut by time: within a (URL, time block) group by a running maximum, between blocks by the last response of
-each block. There are at most ``BLOCKS`` time blocks, so a URL with a third of all records is dealt over that many
-groups and its second step has at most that many rows. Bodies never move; only keys and header lists do.
+each block. The blocks are quantiles of ts, at most ``BLOCKS`` of them and even in rows whatever the clocks say, so a URL
+with a third of all records is dealt over that many groups and its second step has at most that many rows. Bodies never
+move; only keys and header lists do.
 
 Outcomes: ``validated``, ``unchecked`` (nothing to compare), ``mismatch`` (a response that the validators contradict:
-no headers are merged), ``no_response`` (none earlier). Defined results: null URLs match nothing; records with null ts or
-a kind other than the two are neither revisits nor responses; null header lists are empty; header names compare in lower
+no headers are merged), ``no_response`` (none earlier). Where nothing can be compared the headers are merged, as RFC 9111
+(4.3.4) does for the only stored response. Defined results: null URLs match nothing, and revisits without one have a row
+only if ``unkeyed`` is set (``no_response``); records with null ts or a kind other than the two are neither revisits nor responses; null header lists are empty; header names compare in lower
 case, and the last of repeated names counts; repeated records each get their own result; an empty table gives an empty
 result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCKS = 4096
+#: Time blocks at most, a square: a row's block is found by two scans of its root.
+BLOCKS = 1024
 #: Header fields of a 304 response that update a stored response (RFC 9110 and 9111).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that don't select content.
@@ -52,16 +58,27 @@ def merged(stored: Column, update: Column) -> Column:
     return F.array_sort(F.concat(kept, fresh))
 
 
-def resolve(records: DataFrame) -> DataFrame:
+def time_block(records: DataFrame) -> Column:
+    """The block of a row's ts: how many of the quantiles of ts are at or below it."""
+    cuts = sorted(set(records.select(F.percentile_approx("ts", [k / BLOCKS for k in range(1, BLOCKS)] or [0.5], 20 * BLOCKS)).first()[0] or []))
+    step = max(1, math.isqrt(len(cuts)))
+    if not cuts:
+        return F.lit(0)
+    # The bounds as one literal; every step-th of them is compared first, then those after the last that is passed.
+    every = F.lit([int(c) for c in cuts])
+    ahead = F.size(F.filter(F.lit([int(c) for c in cuts[step - 1 :: step]]), lambda c: c <= F.col("ts"))) * step
+    return ahead + F.size(F.filter(F.slice(every, ahead + 1, F.lit(step)), lambda c: c <= F.col("ts")))
+
+
+def resolve(records: DataFrame, unkeyed: bool = False) -> DataFrame:
     """One row per revisit: id, url_key, ts, target_id, target_ts, outcome, headers (array of name, value; null unless merged)."""
     empty = F.array().cast("array<struct<name:string,value:string>>")
+    full = (F.col("kind") == "response") & (F.coalesce(F.col("status") == 200, F.lit(False)) if "status" in records.columns else F.lit(True))
     rows = records.select(
-        "id", "ts", canonical_url(F.col("url")).alias("url_key"), (F.col("kind") == "revisit").alias("again"), (F.col("kind") == "response").alias("full"),
+        "id", "ts", canonical_url(F.col("url")).alias("url_key"), (F.col("kind") == "revisit").alias("again"), full.alias("full"),
         F.struct("ts", "id", "etag", "last_modified", "digest", F.coalesce("headers", empty).alias("headers")).alias("own"),
-    ).where("ts is not null and url_key is not null and (again or full)")
-    lo, hi = records.agg(F.min("ts"), F.max("ts")).first()
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // BLOCKS))
-    cut = rows.withColumn("block", ((F.col("ts") - F.lit(lo or 0)) / width).cast("long"))
+    ).where(f"ts is not null and (again and ({str(unkeyed).lower()} or url_key is not null) or full and url_key is not null)")
+    cut = rows.withColumn("block", time_block(records))
     # Within a block; the frame ends before the record's own ts.
     w = Window.partitionBy("url_key", "block").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     near = cut.withColumn("near", F.max(F.when(F.col("full"), F.col("own"))).over(w)).where("again")
@@ -105,7 +122,7 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
 
 def resolved_pages(pages: DataFrame) -> DataFrame:
     """The query's rows: one per revisit of a page, headers as text."""
-    got = resolve(records_of_pages(pages))
+    got = resolve(records_of_pages(pages), unkeyed=True)
     return got.select("id", "url_key", "ts", "target_id", "target_ts", "outcome", F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n").alias("headers"))
 
 
