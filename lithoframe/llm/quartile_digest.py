@@ -70,20 +70,38 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _ranges(docs: DataFrame, ranges: int) -> tuple[list, F.Column]:
-    """Even id ranges in descending order: their bounds (at most ``ranges`` values) and the range of a row as a column."""
-    bounds = docs.select(F.percentile_approx("i", [k / ranges for k in range(1, ranges)], 20 * ranges).alias("q")).first().q or []
-    cuts = np.unique(np.array(bounds, np.int64))
+def _ranges(rows: DataFrame, ranges: int) -> F.Column:
+    """The range of a row of (i, h, t) as a column: even ranges in descending order of id, then of the text's hash.
+
+    An id that fills several ranges (it is several quantiles) has as many of its own, cut by the hash; so have null ids.
+    """
+    got = rows.select(F.percentile_approx("i", [k / ranges for k in range(1, ranges)] or [0.5], 20 * ranges).alias("q"), F.count(F.lit(1)).alias("n"), F.count("i").alias("m")).first()
+    cuts, times = np.unique(np.array(got.q or [], np.int64), return_counts=True)
+    nulls = max(1, round(ranges * (got.n - got.m) / max(1, got.n)))
+    # places of the range below each cut, the greatest cut's first; those of an id's own ranges come before the others'
+    wide = np.where(times > 1, times + 1, 1)
+    start = 1 + np.concatenate([[0], np.cumsum(wide[::-1])])[::-1]
 
     @F.arrow_udf(IntegerType())
-    def place(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for arr in it:
-            v = arr.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            at = len(cuts) - np.searchsorted(cuts, v, side="left")
-            at[~arr.is_valid().to_numpy(zero_copy_only=False)] = len(cuts) + 1
-            yield pa.array(at.astype(np.int32))
-
-    return list(cuts), place(F.col("i"))
+    def place(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        def share(h: np.ndarray, parts: np.ndarray) -> np.ndarray:
+            """Which of the parts a hash falls into, the greatest hashes into the first."""
+            down = ~(h.view(np.uint64) ^ np.uint64(1 << 63))
+            return (down >> np.uint64(32)) * parts.astype(np.uint64) >> np.uint64(32)
+
+        for ids, hashes in it:
+            null = ~ids.is_valid().to_numpy(zero_copy_only=False)
+            v, h = ids.fill_null(0).to_numpy(zero_copy_only=False), hashes.to_numpy(zero_copy_only=False)
+            at = np.searchsorted(cuts, v, side="left")
+            out = np.zeros(len(v), np.int64)
+            low = at < len(cuts)
+            k = at[low]
+            own = (cuts[k] == v[low]) & (times[k] > 1)
+            out[low] = start[k + 1] + np.where(own, share(h[low], times[k]), wide[k] - 1)
+            out[null] = start[0] + share(h[null], np.full(null.sum(), nulls))
+            yield pa.array(out.astype(np.int32))
+
+    return place(F.col("i"), F.col("h"))
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
@@ -91,13 +109,14 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    _, place = _ranges(rows, ranges or 4 * parts)
+    rows = rows.select("i", "t", F.xxhash64("t").alias("h"))
+    place = _ranges(rows, ranges or 4 * parts)
     # The first row of each range follows the last row of the range before it: one short row for each range.
-    first = {r.b: (r.i, r.h) for r in rows.select("i", F.xxhash64("t").alias("h"), place.alias("b")).groupBy("b").agg(F.max(F.struct(F.coalesce("i", F.lit(-(2**63))).alias("i"), "h")).alias("m")).select("b", "m.*").collect()}
+    first = {r.b: (r.i, r.h) for r in rows.select("i", "h", place.alias("b")).groupBy("b").agg(F.max(F.struct(F.coalesce("i", F.lit(-(2**63))).alias("i"), "h")).alias("m")).select("b", "m.*").collect()}
     order = sorted(first)
     firsts = [(b, *first[b], order[k - 1]) for k, b in enumerate(order)]
     guests = spark.createDataFrame(firsts or [(0, 0, 0, 0)], "gb int, gi long, gh long, goes int").where(F.lit(bool(firsts)))
-    keyed = rows.select("i", "t", F.xxhash64("t").alias("h"), place.alias("b"))
+    keyed = rows.select("i", "t", "h", place.alias("b"))
     sent = keyed.join(F.broadcast(guests), (F.col("gb") == F.col("b")) & (F.col("gi") == F.coalesce("i", F.lit(-(2**63)))) & (F.col("gh") == F.col("h")), "left")
     own = F.struct(F.col("b"), F.lit(0).alias("guest"))
     dealt = sent.select("i", "t", "h", F.explode(F.when(F.col("goes").isNotNull(), F.array(own, F.struct(F.col("goes").alias("b"), F.lit(1).alias("guest")))).otherwise(F.array(own))).alias("to"))
