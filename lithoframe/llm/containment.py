@@ -24,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithoframe.llm.components import written
 from lithoframe.llm.textarr import BROADCAST_BYTES, NONE, HashTable, pieces_of, publish, shingles, words
 
 SHINGLE, THRESHOLD = 5, 0.8
+#: Into how many parts the texts that share a shingle are cut in the joined form.
+SALTS = 16
 
 
 def shingle_set(text: str | None, n: int = SHINGLE) -> frozenset[str]:
@@ -184,11 +187,16 @@ def _joined(rows: DataFrame, items: DataFrame, n: int, threshold: float) -> Data
                 b.append(len(own & {" ".join(w[k : k + width]) for k in range(len(w) - width + 1)}))
             yield pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["item_shingles", "shared"])
 
-    keyed = rows.withColumn("row", F.monotonically_increasing_id())
-    left = keyed.select("row", F.explode(all_keys("doc_text")).alias("key"))
+    # Equal texts are one class, named by two hashes of the text, so a task that is run again names it alike.
+    keyed = rows.withColumn("row", F.struct(F.xxhash64("doc_text").alias("x"), F.md5(F.col("doc_text").cast("binary")).alias("m")))
+    classes = keyed.dropDuplicates(["row"]).select("row", "doc_text")
     placed = items.withColumn("place", F.xxhash64("item_id", "item_text"))
-    right = placed.select("place", F.explode(keys("item_text")["keys"]).alias("key"))
-    pairs = left.join(right, "key").select("row", "place").distinct()
+    right = written(placed.select("place", F.explode(keys("item_text")["keys"]).alias("key")), "item_keys")
+    # A shingle that very many texts have is a hot key: its items are sent to each of SALTS parts of those texts.
+    salt = F.pmod(F.col("row.x"), F.lit(SALTS)).cast("int")
+    left = classes.select("row", F.explode(all_keys("doc_text")).alias("key")).withColumn("salt", salt)
+    salted = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = written(left.join(salted, ["key", "salt"]).select("row", "place").distinct(), "met")
     both = pairs.join(keyed, "row").join(placed, "place").select("doc_id", "item_id", verify("doc_text", "item_text").alias("f")).select("doc_id", "item_id", "f.*")
     return both.where(F.col("shared") >= F.lit(threshold) * F.col("item_shingles") - 1e-9).withColumn("containment", F.col("shared") / F.col("item_shingles"))
 
