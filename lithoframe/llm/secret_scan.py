@@ -3,8 +3,9 @@
 Base kinds (leftmost, non-overlapping within a kind): ``assign``, ``access``, ``hex``. Each base span stays as found.
 The novelty kind measures how many bytes a candidate adds to a zstandard frame whose raw dictionary holds a list of
 common identifiers and the text around the candidate. A string that repeats or resembles its surroundings adds few
-bytes; a key adds about its own length, or as much as a random string of its alphabet does. Candidates stand within ``reach`` characters after a sensitive word, are at
-least ``least`` characters long, mix letters and digits, and overlap no base span.
+bytes; a key adds about its own length, or as much as a random string of its alphabet does. Candidates stand within
+``reach`` characters after a sensitive word, are at least ``least`` characters long, mix letters and digits (or, without
+digits, change between upper and lower case more often than joined words do), and overlap no base span.
 
 Defined results: null text is read as empty; empty text has no spans; texts are scanned whole whatever their length;
 repeated rows each get their own result; an empty table gives an empty result. Offsets are code points, end exclusive.
@@ -75,6 +76,15 @@ def random_added(alphabet: int, length: int) -> int:
     return _added("".join(random.Random(length).choices(ALPHABETS[alphabet][1], k=length)).encode(), IDENTIFIERS.encode())
 
 
+def mixed(value: str) -> bool:
+    """Whether a string's signs may be a key's: letters and digits, or cases that change at more than 0.4 of its places."""
+    if not re.search("[A-Za-z]", value):
+        return False
+    if re.search("[0-9]", value):
+        return True
+    return sum(a.isupper() != b.isupper() for a, b in zip(value, value[1:])) > 0.4 * (len(value) - 1)
+
+
 class Novelty:
     """Marginal compressed bytes of a candidate, given the identifiers and the text around it.
 
@@ -123,7 +133,7 @@ class Novelty:
                 if s > 0 and re.match("[A-Za-z0-9_]", text[s - 1]):  # the rest of a token that began within the sensitive word
                     continue
                 v = t.group()
-                if e - s < self.least or not re.search(r"[0-9]", v) or not re.search(r"[A-Za-z]", v):
+                if e - s < self.least or not mixed(v):
                     continue
                 if any(a < e and s < b for a, _, b in taken):
                     continue
