@@ -2,9 +2,11 @@
 
 ``Transducer.compile`` reads a model file and builds, once, on the driver:
 
-* the normaliser: dummy prefix, removal of extra white space where the model asks for it, and white space as U+2581;
+* the normaliser: the model's character map (at each place the longest entry is rewritten, read from its double-array
+  trie), dummy prefix, removal of extra white space where the model asks for it, and white space as U+2581;
 * the lexicon: pieces by a hash of their text, so that the arcs into an input position are found by hash of the last
   1 to ``longest`` code points;
+* user-defined pieces: arcs that nothing else crosses (the longest one at a place; in a unigram model an arc with a bonus);
 * byte fallback: a code point that no piece covers is an arc that emits the pieces of its UTF-8 bytes;
 * arc weights: minus the piece score for a unigram model. A BPE model's segmentation is the only path on which merging
   would never join or regroup two neighbours, so there the transducer is composed with a bigram acceptor of the pairs of
@@ -68,6 +70,56 @@ def _fields(b: bytes) -> Iterator[tuple[int, object]]:
         yield key >> 3, v
 
 
+def charmap(blob: bytes) -> dict[bytes, bytes]:
+    """The entries of a model's character map: the size of a trie, the trie's units, and the zero-ended texts that its leaves point to."""
+    size = int.from_bytes(blob[:4], "little")
+    unit, texts = np.frombuffer(blob[4 : 4 + size], "<u4").astype(np.int64), blob[4 + size :]
+
+    def children(u: int) -> int:
+        return (u >> 10) << ((u & 512) >> 6)
+
+    out: dict[bytes, bytes] = {}
+    todo = [(children(int(unit[0])), b"")]
+    while todo:
+        at, key = todo.pop()
+        place = at ^ np.arange(1, 256)
+        inside = place[place < len(unit)]
+        for k in inside[(unit[inside] & 0x800000FF) == (at ^ inside)].tolist():
+            u, longer = int(unit[k]), key + bytes([at ^ k])
+            below = k ^ children(u)
+            if u >> 8 & 1:
+                start = int(unit[below]) & 0x7FFFFFFF
+                out[longer] = texts[start : texts.index(b"\0", start)]
+            todo.append((below, longer))
+    return out
+
+
+class Rewriter:
+    """A character map as a transducer over texts: the longest entry at each place, other signs as they are."""
+
+    def __init__(self, entries: dict[bytes, bytes], keep: re.Pattern | None):
+        known = {k.decode(): v.decode() for k, v in entries.items()}
+        self.single = str.maketrans({k: v for k, v in known.items() if len(k) == 1})
+        self.known, self.keep = known, keep
+        long = sorted((k for k in known if len(k) > 1), key=len, reverse=True)
+        self.later = frozenset(c for k in long for c in k[1:])
+        self.long = re.compile("|".join(map(re.escape, long))) if long else None
+
+    def _plain(self, text: str) -> str:
+        if self.long is None or self.later.isdisjoint(text):
+            return text.translate(self.single)
+        out, at = [], 0
+        for m in self.long.finditer(text):
+            out += [text[at : m.start()].translate(self.single), self.known[m[0]]]
+            at = m.end()
+        return "".join(out) + text[at:].translate(self.single)
+
+    def __call__(self, text: str) -> str:
+        if self.keep is None:
+            return self._plain(text)
+        return "".join(x if k % 2 else self._plain(x) for k, x in enumerate(self.keep.split(text)))
+
+
 class Transducer:
     """A compiled model. Arcs are numbered by ``order``: single signs first, then pieces in the order of merging."""
 
@@ -75,7 +127,7 @@ class Transducer:
     def compile(cls, model: bytes) -> Transducer:
         t = cls()
         pieces: list[tuple[str, float, int]] = []
-        t.kind, t.prefix, t.squeeze = UNIGRAM, True, True
+        t.kind, t.prefix, t.squeeze, entries = UNIGRAM, True, True, {}
         for f, v in _fields(model):
             if f == 1:
                 d = dict(_fields(v))
@@ -84,12 +136,12 @@ class Transducer:
                 t.kind = dict(_fields(v)).get(3, UNIGRAM)
             elif f == 3:
                 d = dict(_fields(v))
-                if d.get(2):
-                    raise ValueError("models with a character map are not supported; normalise the text first")
+                entries = charmap(d[2]) if d.get(2) else {}
                 t.prefix, t.squeeze = bool(d.get(3, 1)), bool(d.get(4, 1))
         if t.kind not in (UNIGRAM, BPE):
             raise ValueError(f"model type {t.kind} is neither unigram nor BPE")
         t._build(pieces)
+        t.rewrite = Rewriter(entries, re.compile(f"({t.user_pattern})") if t.user else None) if entries else None
         return t
 
     def _build(self, pieces: list[tuple[str, float, int]]) -> None:
@@ -104,7 +156,11 @@ class Transducer:
                 self.spell.append(b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode())
         self.is_byte = np.array([p[2] == BYTE for p in pieces])
         self.has_bytes = bool(self.is_byte.any())
-        usable = [(p, s, k) for k, (p, s, kind) in enumerate(pieces) if kind in (NORMAL, USER) and p]
+        self.user = {p: k for k, (p, _, kind) in enumerate(pieces) if kind == USER and p}
+        self.user_pattern = "|".join(map(re.escape, sorted(self.user, key=len, reverse=True)))
+        top = max((s for _, s, kind in pieces if kind == NORMAL), default=0.0)
+        bonus = self.kind == UNIGRAM
+        usable = [(p, len(p.encode()) * top - 0.1 if kind == USER else s, k) for k, (p, s, kind) in enumerate(pieces) if p and (kind == NORMAL or kind == USER and bonus)]
         self.rank = {p: s for p, s, _ in usable}
         usable.sort(key=lambda x: (len(x[0]) > 1, -x[1], x[2]))
         if self.kind == BPE:
@@ -311,6 +367,8 @@ class Transducer:
     # Texts ---------------------------------------------------------------------------------------------------------
 
     def normalise(self, text: str) -> str:
+        if self.rewrite is not None:
+            text = self.rewrite(text)
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
@@ -319,6 +377,12 @@ class Transducer:
 
     def units(self, norm: str) -> list[str]:
         """Parts of a normalised text between which no piece can reach. A line break that no piece covers stands alone."""
+        if self.user and self.kind == BPE:
+            parts = re.split(f"({self.user_pattern})", norm)
+            return [x for k, p in enumerate(parts) for x in ([p] if k % 2 else self._words(p))]
+        return self._words(norm)
+
+    def _words(self, norm: str) -> list[str]:
         if not self.apart:
             return [norm] if norm else []
         if SPACE + SPACE in norm or norm.endswith(SPACE):
@@ -335,6 +399,8 @@ class Transducer:
         if len(self.words) > most_words:  # two generations: words met again lately stay
             self.words, self.older = {}, self.words
         known, older = self.words, self.older
+        if self.kind == BPE:
+            known.update((p, np.array([k], "<i4").tobytes()) for p, k in self.user.items())
         new = {w for parts in split for w in parts if w not in known}
         known.update((w, older[w]) for w in new if w in older)
         new = {w for w in new if w not in older}
@@ -342,7 +408,11 @@ class Transducer:
         known.update(zip(short, self.solve_all(short)))
         long = {w: self.solve(w) for w in new if w not in known}
         get = (lambda w: known.get(w) or long[w]) if long else known.__getitem__
-        return [np.frombuffer(b"".join(map(get, parts)), "<i4") for parts in split]
+        out = [np.frombuffer(b"".join(map(get, parts)), "<i4") for parts in split]
+        if self.has_bytes:
+            return out
+        # a run of unknown signs is one unknown piece
+        return [x[np.concatenate([[True], (x[1:] != self.unk_id) | (x[:-1] != self.unk_id)])[: len(x)]] for x in out]
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.spell.__getitem__, ids.tolist())).decode("utf-8", "replace")
