@@ -1,29 +1,40 @@
 """Main text of web pages by deducing each host's template from token equivalence classes.
 
-A page is a sequence of tokens: each start tag in its context (the path of tags, classes and ids above it) and each text
-block in its context. The occurrence vector of a token is how often it stands on each page of a host; it is kept as the
-number of those pages and a commutative hash over (page, count), so vectors are aggregated before any shuffle and no
-host's pages ever meet in one task. Tokens of one host with equal vectors on enough pages form an equivalence class;
-classes of at least two tokens are valid.
-Pages of one block sequence have one vote, however many there are. They nest by their contexts into the host's template; what stands between
-their tokens are slots. A text block that is itself a template token is boilerplate.
-
-Extraction walks a page again with its host's template. Elements whose tag, role, class or id mark menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments are left out with all they hold, as are boilerplate
-blocks (those in an article only while they are less than half of it). The main slots are those within ``article`` (else ``main``) elements; without either, the deepest
-container that holds nearly all of the remaining text. White space inside a block becomes one space; blocks are joined by two line feeds.
-
-Defined results: null and empty html give the empty text; broken markup never fails (tags close as in browsers, as far as
-blocks are concerned); hosts with few pages have no template and rely on the marks alone; a null url is a host of its
-own; repeated rows each get their own result; pages of any length are read whole.
+A page is a sequence of tokens: each start and end tag in its context (the path of tags, classes and ids above it) and
+each text block in its context. The template of a host is found in two passes over its pages, of which those of one block
+sequence have one vote:
+
+* Classes. The occurrence vector of a token is how often it stands on each page; it is kept as the number of those pages
+  and a commutative hash over (page, count), so vectors are aggregated before any shuffle and no host's pages ever meet
+  in one task. Tokens of equal vectors on enough pages are an equivalence class; an end tag is in its start tag's class.
+* Tree. On each page a class must be ordered (its tokens repeat in one order, the same on all pages) and nested (its runs
+  open in one slot of one class, the same on all pages, and are closed before that slot ends). Classes that are, and that
+  hold a tag, are the nodes of the template tree; text of their own is template text, and what stands between two
+  neighbouring tokens of a class is a slot. The main slot is the deepest one whose subtree holds nearly all (``NEARLY_ALL``)
+  of the text that pages without ``article`` or ``main`` have in slots.
+
+Extraction parses a page with the tree, which puts each text block in its slot. Template text is left out (in an article
+only while it is less than half of the article, so that mirrors of one article keep it). The article is what ``article``
+(else ``main``) marks; without either it is the main slot, or on hosts without one the deepest container that holds
+nearly all of the page's text. No vector tells an advert that changes with each page from the article, so elements whose
+tag, role or name mark menus, headers, footers, sidebars, notices, adverts, forms or reader comments go with all they
+hold; a name is such a mark only if each of its words is in ``CHROME`` or in ``PLAIN`` and one at least in ``CHROME``.
+White space inside a block becomes one space; blocks are joined by two line feeds.
+
+Defined results: null and empty html give the empty text; broken markup never fails and takes linear time (a tag without
+``>`` is text, an open quote in a tag ends with the tag; tags close as in browsers, as far as blocks are concerned); a
+host of fewer than ``least_pages`` distinct pages has no template, as equal vectors say nothing there; urls that are null
+or can't be read are one host, named by the empty string; repeated rows each get their own result; pages of any length
+and depth are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -32,9 +43,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithoframe.llm.components import written
-from lithoframe.llm.textarr import BROADCAST_BYTES, pieces_of
+from lithoframe.llm.textarr import BROADCAST_BYTES
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+STOP = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
@@ -43,21 +55,32 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTAINERS = frozenset(("div", "section", "td", "article", "main", "body", ""))
 CLOSES = {
-    "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-    "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"},
+    "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
+    "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody"),
 }
-HOLDS = {"li": {"ul", "ol", "menu", "dir"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
+HOLDS = {"li": ("ul", "ol", "menu", "dir"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "tbody": ("table",), "tfoot": ("table",)}
+#: Words that mark what isn't the article.
 CHROME = frozenset(
-    "ad ads adv advert adverts advertisement adbox adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert alerts popup modal overlay "
-    "sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs masthead topbar footer foot comment comments commentlist disqus reply replies respond discussion "
-    "related recommended recommendations share sharing social subscribe subscription newsletter signup login search form widget widgets toolbar pagination pager skip copyright legal".split()
+    "ad ads adv advert adverts advertisement advertisements adbox adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert alerts popup modal overlay "
+    "sidebar aside menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar footer comment comments commentlist disqus reply replies respond "
+    "related recommended recommendations share sharing social subscribe subscription newsletter signup login search form widget widgets toolbar pagination pager skip copyright".split()
 )
-COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+#: Words that say nothing of the content beside one of those.
+PLAIN = frozenset(
+    "a area article b bar block blog body bottom box btn button buttons col column container content cta entry foot global group head header holder i icons inner inline item items left lg link links list "
+    "main md media middle mobile outer page panel post posts primary reader readers region right row secondary section site slot sm stories story sub tertiary thread top unit user users wrap wrapper xs".split()
+)
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 KEEP, HEADING_ONLY, DROP = 0, 1, 2
-#: The part of a page's text that its main container must hold where no article or main marks it.
+START, END, TEXT = 0, 1, 2
+#: The part of the text that the main slot, or a page's main container, must hold where no article or main marks it.
 NEARLY_ALL = 0.9
+#: The class and slot of what stands in no class.
+ROOT = (0, 0)
 
 
 def host_of(url: str | None) -> str:
@@ -71,12 +94,13 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): htmllib.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)} if raw.strip(" /\n\t") else {}
 
 
-def _names(attrs: dict[str, str]) -> set[str]:
+def _words(attrs: dict[str, str], known: frozenset[str]) -> set[str]:
+    """The words of those classes and of that id which hold nothing but known words."""
     out: set[str] = set()
     for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
-        parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)
-        if parts and parts[0].lower() not in ("with", "has", "no", "without"):
-            out.update(p.lower() for p in parts)
+        parts = {p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)}
+        if parts <= known:
+            out |= parts
     return out
 
 
@@ -86,57 +110,97 @@ def _kind(tag: str, attrs: dict[str, str]) -> int:
         return DROP
     if tag == "header":
         return HEADING_ONLY
-    if not attrs:
-        return KEEP
-    names = _names(attrs)
-    if tag in ("html", "body", "main"):
+    if not attrs or tag in ("html", "body", "main"):
         return KEEP
+    marks = _words(attrs, CHROME | PLAIN) & CHROME
     if tag == "article":
-        return DROP if names & COMMENTS else KEEP
-    if names & CHROME:
+        return DROP if marks & COMMENTS else KEEP
+    if marks:
         return DROP
-    return HEADING_ONLY if "header" in names or "head" in names else KEEP
+    return HEADING_ONLY if "header" in _words(attrs, PLAIN) else KEEP
+
+
+def _hash(path: int, text: str) -> int:
+    """A token's or a path's number: a positive 63-bit hash."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), path) >> 1 or 1
 
 
 class Walk:
-    """Tokens and text blocks of one page."""
+    """Tokens and text blocks of one page. A path is a hash over its parent's and its own label."""
 
     def __init__(self, page: str):
-        #: [tag, kind here, whether inside article, inside main, path]
-        self.stack: list[tuple[str, int, bool, bool, str]] = [("", KEEP, False, False, "")]
-        self.starts: Counter[str] = Counter()
-        #: path, kept, in article, in main, container path, text
-        self.blocks: list[tuple[str, bool, bool, bool, str, str]] = []
+        #: tag, kind, in article, in main, path, in a heading, container's path, block's path, places of the open block and paragraph
+        self.stack: list[tuple] = [("", KEEP, False, False, 1, False, 1, 1, 0, 0)]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.starts: Counter[int] = Counter()
+        #: the container around each container, outer ones first
+        self.around: dict[int, int] = {1: 0}
+        #: block's path, kept, in article, in main, container, text
+        self.blocks: list[tuple[int, bool, bool, bool, int, str]] = []
+        #: what happens, and the path or the block's number
+        self.events: list[tuple[int, int]] = []
         self.text: list[str] = []
-        self.links = 0
-        raw = ""
-        at, end = 0, len(page)
+        self.page, self.loose, self.closable = page, False, True
+        self._read()
+        self._flush()
+        self._pop_to(1)
+
+    def _read(self) -> None:
+        page, at, end = self.page, 0, len(self.page)
         while at < end:
-            if raw:
-                m = re.compile(rf"</{raw}(?=[\s/>])", re.I).search(page, at)
-                at = m.start() if m else end
-                raw = ""
+            lt = page.find("<", at)
+            if lt != at:
+                self.text.append(page[at : lt if lt >= 0 else end])
+                if lt < 0:
+                    return
+                at = lt
+            if page.startswith("<!--", at):
+                gt = page.find("-->", at + 4)
+                at = gt + 3 if gt >= 0 else end
                 continue
-            m = TOKEN.match(page, at)
-            at = m.end()
-            tag = m[2]
-            if tag is None:
-                s = m[0]
-                if s[0] != "<" or s == "<":
-                    self.text.append(s)
-                elif s.startswith("<![CDATA["):
-                    self.text.append(s[9:-3].replace("&", "&amp;"))
+            if page.startswith("<![CDATA[", at):
+                gt = page.find("]]>", at + 9)
+                self.text.append(page[at + 9 : gt if gt >= 0 else end].replace("&", "&amp;"))
+                at = gt + 3 if gt >= 0 else end
                 continue
-            tag = tag.lower()
-            if m[1]:
+            closing = page.startswith("</", at)
+            name = NAME.match(page, at + 1 + closing)
+            if name is None and not page.startswith(("<!", "<?"), at):
+                gt = -1
+            else:
+                gt = self._tag_end(name.end() if name else at + 2, quoted=name is not None)
+            if gt < 0:
+                self.text.append("<")
+                at += 1
+                continue
+            at = gt + 1
+            if name is None:
+                continue
+            tag = name[0].lower()
+            if closing:
                 self._close(tag)
                 continue
-            attrs = _attributes(m[3])
-            self._open(tag, attrs)
+            self._open(tag, _attributes(page[name.end() : gt]))
             if tag in RAW:
-                self.stack[-1] = (tag, DROP, *self.stack[-1][2:])
-                raw = tag
-        self._flush()
+                m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+                at = m.start() if m else end
+
+    def _tag_end(self, at: int, quoted: bool) -> int:
+        """Where the tag's ``>`` is, or -1. What is found out once for the rest of the page isn't sought again."""
+        page, first = self.page, at
+        while self.closable:
+            m = STOP.search(page, at) if quoted and not self.loose else None
+            if m is None or m[0] == ">":
+                gt = m.start() if m else page.find(">", first)
+                self.closable = gt >= 0
+                # a quote that is never closed, or closed behind the last '>', is no quote from here on
+                self.loose |= m is None and quoted and gt >= 0
+                return gt
+            to = page.find(m[0], m.end())
+            if to < 0:
+                self.loose = True
+            at = to + 1
+        return -1
 
     def _flush(self) -> None:
         if not self.text:
@@ -145,20 +209,18 @@ class Walk:
         self.text = []
         if not t:
             return
-        heading = kept = False
-        container = ""
-        for tag, kind, _, _, path in reversed(self.stack):
-            if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                heading = True
-            if not container and tag in ("div", "section", "td", "article", "main", "body", ""):
-                container = path
-        worst = self.stack[-1][1]
-        kept = worst == KEEP or (worst == HEADING_ONLY and heading)
-        block = next((p for g, _, _, _, p in reversed(self.stack) if g in BLOCK), "")
-        self.blocks.append((block, kept, self.stack[-1][2], self.stack[-1][3], container, t))
+        _, kind, art, main, _, heading, container, block, _, _ = self.stack[-1]
+        self.events.append((TEXT, len(self.blocks)))
+        self.blocks.append((block, kind == KEEP or (kind == HEADING_ONLY and heading), art, main, container, t))
 
     def _pop_to(self, depth: int) -> None:
-        del self.stack[depth:]
+        while len(self.stack) > depth:
+            tag, _, _, _, path, *_ = self.stack.pop()
+            self.places[tag].pop()
+            self.events.append((END, path))
+
+    def _last(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
 
     def _open(self, tag: str, attrs: dict[str, str]) -> None:
         if tag == "br" or tag == "wbr":
@@ -167,81 +229,201 @@ class Walk:
             return
         if tag in BLOCK:
             self._flush()
-            for k in range(len(self.stack) - 1, 0, -1):  # an open paragraph ends where a block begins
-                if self.stack[k][0] == "p":
-                    self._pop_to(k)
-                    break
-                if self.stack[k][0] in BLOCK:
-                    break
-            for k in range(len(self.stack) - 1, 0, -1) if tag in CLOSES else ():
-                if self.stack[k][0] in HOLDS[tag]:
-                    break
-                if self.stack[k][0] in CLOSES[tag]:
+            if self.stack[-1][9]:  # an open paragraph ends where a block begins
+                self._pop_to(self.stack[-1][9])
+            if tag in CLOSES:
+                while (k := self._last(CLOSES[tag])) > self._last(HOLDS[tag]):
                     self._pop_to(k)
-        _, kind, art, main, path = self.stack[-1]
-        own = _kind(tag, attrs)
-        label = tag + "".join(f".{c}" for c in sorted(attrs.get("class", "").split())) + (f"#{attrs['id']}" if attrs.get("id") else "")
-        path = f"{path}/{label}" if len(self.stack) < 64 else path
+        elif tag in CLOSES and (k := self._last(CLOSES[tag])) > self._last(HOLDS[tag]):
+            self._pop_to(k)
+        _, kind, art, main, above, heading, container, block, block_at, p_at = self.stack[-1]
+        path = _hash(above, tag + "".join(f".{c}" for c in sorted(attrs.get("class", "").split())) + (f"#{attrs['id']}" if attrs.get("id") else ""))
         self.starts[path] += 1
+        self.events.append((START, path))
         if tag in VOID:
             return
-        self.stack.append((tag, max(kind, own), art or tag == "article", main or tag == "main" or attrs.get("role", "") == "main", path))
+        if tag in CONTAINERS:
+            self.around.setdefault(path, container)
+            container = path
+        at = len(self.stack)
+        if tag in BLOCK:
+            block, block_at, p_at = path, at, at if tag == "p" else 0
+        kind = DROP if tag in RAW else max(kind, _kind(tag, attrs))
+        self.places[tag].append(at)
+        self.stack.append((tag, kind, art or tag == "article", main or tag == "main" or attrs.get("role", "") == "main", path, heading or tag in HEADINGS, container, block, block_at, p_at))
 
     def _close(self, tag: str) -> None:
         if tag in BLOCK:
             self._flush()
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == tag:
-                self._pop_to(k)
-                return
-            if tag not in BLOCK and self.stack[k][0] in BLOCK:
-                return  # an inline end tag doesn't close blocks
-
-
-def _hash(path: str, text: str | None = None) -> int:
-    h = xxhash.xxh64_intdigest(path if text is None else f"{path}\x00{text}", 0 if text is None else 1) >> 1
-    return h or 1
+        # an inline end tag doesn't close blocks
+        if (k := self._last((tag,))) and (tag in BLOCK or k > self.stack[-1][8]):
+            self._pop_to(k)
 
 
 def page_tokens(walk: Walk) -> Counter[int]:
-    """Counts of a page's tokens; 0 stands for the page itself."""
+    """Counts of a page's tokens, tags below 2^62 and texts above; 0 stands for the page itself."""
     out: Counter[int] = Counter({0: 1})
     for path, n in walk.starts.items():
-        out[_hash(path)] += n
+        out[tag_token(path)] += n
     for path, _, _, _, _, t in walk.blocks:
-        out[_hash(path, t)] += 1
+        out[text_token(path, t)] += 1
+    return out
+
+
+def tag_token(path: int) -> int:
+    return path >> 1 or 1
+
+
+def text_token(path: int, text: str) -> int:
+    return _hash(path, "\x00" + text) >> 1 | 1 << 62
+
+
+def is_tag(token: int) -> bool:
+    return token >> 62 == 0
+
+
+def _sequence(walk: Walk, classes: dict[int, int]) -> Iterator[tuple[int, int, int]]:
+    """(class, token, block's number or -1) of a page's events in order; class 0 for text in none. An end tag is its start's token, negative."""
+    for what, x in walk.events:
+        if what == TEXT:
+            token = text_token(walk.blocks[x][0], walk.blocks[x][5])
+            yield classes.get(token, 0), token, x
+        elif c := classes.get(tag_token(x), 0):
+            yield c, tag_token(x) if what == START else -tag_token(x), -1
+
+
+def _orders(walk: Walk, classes: dict[int, int]) -> dict[int, tuple[int, ...]]:
+    """Of each class on a page: the order in which its tokens repeat, or () if they don't repeat in one order."""
+    seen: dict[int, list[int]] = defaultdict(list)
+    for c, token, _ in _sequence(walk, classes):
+        if c:
+            seen[c].append(token)
+    out = {}
+    for c, tokens in seen.items():
+        run = tuple(tokens[: len(set(tokens))])
+        out[c] = run if len(set(run)) == len(run) and len(tokens) % len(run) == 0 and run * (len(tokens) // len(run)) == tuple(tokens) else ()
     return out
 
 
-def main_text(walk: Walk, template: frozenset[int], full: bool = True) -> str:
-    """The main text. ``full``: repeated text in an article counts as boilerplate, unless it is half of the article or more."""
-    left, size, common = [], 0, 0
-    for path, kept, art, main, _, t in walk.blocks:
+class Parse:
+    """A page parsed with ordered classes: in which slot each block stands, and where each class opens."""
+
+    def __init__(self, walk: Walk, classes: dict[int, int], sizes: dict[int, int]):
+        #: open runs, inner ones last: class and slot
+        stack: list[tuple[int, int]] = []
+        held: set[int] = set()
+        self.parent: dict[int, tuple[int, int]] = {}
+        self.broken: set[int] = set()
+        #: the open slots of each block in no class of its own, inner ones last
+        self.slots: dict[int, tuple[tuple[int, int], ...]] = {}
+        turn: Counter[int] = Counter()
+        for c, _, block in _sequence(walk, classes):
+            if c not in sizes:
+                if block >= 0:
+                    self.slots[block] = tuple(stack)
+                continue
+            k = turn[c] % sizes[c]
+            turn[c] += 1
+            if k == 0:
+                opens = stack[-1] if stack else ROOT
+                if self.parent.setdefault(c, opens) != opens:
+                    self.broken.add(c)
+            elif c not in held:
+                self.broken.add(c)
+                continue
+            else:
+                while stack[-1][0] != c:
+                    self.broken.add(stack[-1][0])
+                    held.discard(stack.pop()[0])
+                stack.pop()
+                held.discard(c)
+            if k < sizes[c] - 1 and c not in held:
+                stack.append((c, k))
+                held.add(c)
+        self.broken |= held
+
+
+def page_shape(walk: Walk, classes: dict[int, int]) -> tuple[list[tuple[int, int, int, int, bool, int]], list[tuple[int, int, int]]]:
+    """(class, hash of its order, parent class, parent slot, nested, width) and (class, slot, text's length) of one page.
+
+    Text counts only on pages without a kept block in article or main, and as far as it is kept.
+    """
+    orders = _orders(walk, classes)
+    parse = Parse(walk, classes, {c: len(o) for c, o in orders.items() if o})
+    shape = [(c, xxhash.xxh64_intdigest(repr(o).encode(), 5) >> 1, *parse.parent[c], c not in parse.broken, len(o)) if o else (c, 0, 0, 0, False, 0) for c, o in orders.items()]
+    free = not any(kept and (art or main) for _, kept, art, main, _, _ in walk.blocks)
+    held: Counter[tuple[int, int]] = Counter()
+    for b, open_ in parse.slots.items() if free else ():
+        if walk.blocks[b][1]:
+            held[open_[-1] if open_ else ROOT] += len(walk.blocks[b][5])
+    return shape, [(c, k, n) for (c, k), n in held.items()]
+
+
+def main_slot(tree: dict[int, tuple[bool, int, int]], held: dict[tuple[int, int], int]) -> tuple[int, int]:
+    """The deepest slot whose subtree holds nearly all text; ROOT if only the page does. ``tree``: valid, parent, its slot of each class."""
+
+    def up(slot: tuple[int, int]) -> list[tuple[int, int]]:
+        """The slots of valid classes around a slot and itself, inner ones first."""
+        out, seen = [], set()
+        while slot[0] and slot[0] in tree and slot[0] not in seen:
+            seen.add(slot[0])
+            valid, *above = tree[slot[0]]
+            if valid:
+                out.append(slot)
+            slot = tuple(above)
+        return out
+
+    below: Counter[tuple[int, int]] = Counter()
+    depth: dict[tuple[int, int], int] = {}
+    for slot, n in held.items():
+        chain = up(slot)
+        for k, s in enumerate(chain):
+            below[s] += n
+            depth[s] = len(chain) - k
+    total = sum(held.values())
+    return max((s for s, n in below.items() if n >= NEARLY_ALL * total and n), key=lambda s: (depth[s], s), default=ROOT)
+
+
+class Template:
+    """What extraction needs of a host's template: the class of each token of a valid class, their sizes, the main slot."""
+
+    def __init__(self, tokens: list[int] = (), classes: list[int] = (), sizes: dict[int, int] | None = None, main: tuple[int, int] = ROOT):
+        self.of, self.sizes, self.main = dict(zip(tokens, classes)), sizes or {}, main
+
+
+def main_text(walk: Walk, template: Template | None = None, full: bool = True) -> str:
+    """The main text of a page by its host's template, if it has one. ``full``: template text goes from articles as well."""
+    template, blocks = template or Template(), walk.blocks
+    fixed = [text_token(b[0], b[5]) in template.of for b in blocks] if template.of else [False] * len(blocks)
+    size = common = 0
+    for (_, kept, art, main, _, t), f in zip(blocks, fixed):
         if kept and (art or main):
             size += len(t)
-            common += len(t) * (_hash(path, t) in template)
+            common += len(t) * f
     full = full and 2 * common < size
-    for path, kept, art, main, container, t in walk.blocks:
-        if kept and not (_hash(path, t) in template and (full or not (art or main))):
-            left.append((art, main, container, t))
-    for place in (0, 1):
-        if any(b[place] for b in left):
-            return "\n\n".join(b[3] for b in left if b[place])
-    if not left:
-        return ""
-    # No marked region: the deepest container that holds nearly all of the text, with what is below it.
-    own: Counter[str] = Counter()
-    for _, _, c, t in left:
-        own[c] += len(t)
-    below: Counter[str] = Counter()
-    for c, n in own.items():
-        parts = c.split("/")
-        for k in range(len(parts)):
-            below["/".join(parts[: k + 1])] += n
-    total = sum(own.values())
-    # Such containers lie above each other; of two of one depth, which only odd labels give, the template's counts.
-    best = max((c for c, n in below.items() if n >= NEARLY_ALL * total), key=lambda c: (c.count("/"), _hash(c) in template))
-    return "\n\n".join(t for _, _, c, t in left if c == best or c.startswith(best + "/"))
+    left = [k for k, ((_, kept, art, main, _, _), f) in enumerate(zip(blocks, fixed)) if kept and not (f and (full or not (art or main)))]
+    for place in (2, 3):
+        if any(blocks[k][place] for k in left):
+            return "\n\n".join(blocks[k][5] for k in left if blocks[k][place])
+    if template.main != ROOT:
+        slots = Parse(walk, template.of, template.sizes).slots
+        if inside := [k for k in left if template.main in slots.get(k, ())]:
+            return "\n\n".join(blocks[k][5] for k in inside)
+    # The deepest container that holds nearly all of the text, with what is below it.
+    below: Counter[int] = Counter()
+    for k in left:
+        below[blocks[k][4]] += len(blocks[k][5])
+    total, inside = sum(below.values()), set()
+    for c in reversed(walk.around):
+        below[walk.around[c]] += below[c]
+    depth = {0: 0}
+    for c, above in walk.around.items():
+        depth[c] = depth[above] + 1
+    best = max((c for c in walk.around if below[c] >= NEARLY_ALL * total), key=depth.__getitem__)
+    for c, above in walk.around.items():
+        if c == best or above in inside:
+            inside.add(c)
+    return "\n\n".join(blocks[k][5] for k in left if blocks[k][4] in inside)
 
 
 def _vote(walk: Walk) -> int:
@@ -249,24 +431,39 @@ def _vote(walk: Walk) -> int:
     return xxhash.xxh64_intdigest("\x00".join(f"{path}\x01{t}" for path, _, _, _, _, t in walk.blocks).encode("utf-8", "replace"), 3) >> 1
 
 
+def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], at_once: int) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of at most so many."""
+    while part := list(islice(rows, at_once)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*part), kinds)], names=names)
+
+
+def _by_host(batches: Iterator, make) -> Iterator[tuple]:
+    """(page, host, make(the other columns)) of each row; what is made is kept for up to 1,000 hosts."""
+    held: dict = {}
+    for html, hosts, *known in batches:
+        for at in range(0, len(html), 64):
+            part = [x.slice(at, 64) for x in (html, hosts, *known)]
+            for j, (page, name) in enumerate(zip(part[0].to_pylist(), part[1].to_pylist())):
+                if name not in held:
+                    if len(held) > 1000:
+                        held.clear()
+                    held[name] = make(*(x[j].as_py() for x in part[2:]))
+                yield page or "", name, held[name]
+
+
 def tokens(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(host, page, token, n): the tokens of one page of each distinct block sequence of a host."""
-    kinds = [("host", pa.string()), ("page", pa.int64()), ("tokens", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64()))]
-    schema = pa.schema(kinds)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in it:
-            for at in range(0, len(batch), 128):
-                part = batch.slice(at, 128)
-                hosts, page, token, n = [], [], [], []
+            for part in (batch.slice(at, 64) for at in range(0, len(batch), 64)):
                 for u, h in zip(part.column("u").to_pylist(), part.column("h").to_pylist()):
                     walk = Walk(h or "")
                     got = page_tokens(walk)
-                    hosts.append(host_of(u))
-                    page.append(_vote(walk))
-                    token.append(list(got.keys()))
-                    n.append(list(got.values()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((hosts, page, token, n), schema)], schema=schema)
+                    yield host_of(u), _vote(walk), list(got.keys()), list(got.values())
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(rows(it), ["host", "page", "tokens", "ns"], [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())], 128)
 
     seen = pages.select(F.col(url_col).alias("u"), F.col(html_col).alias("h")).mapInArrow(run, "host string, page long, tokens array<long>, ns array<long>")
     one = seen.dropDuplicates(["host", "page"])
@@ -274,7 +471,7 @@ def tokens(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
 
 def deduce(pages: DataFrame, url_col: str = "url", html_col: str = "html", support: float = 0.6, least_pages: int = 3) -> DataFrame:
-    """(host, host_pages, class, class_pages, tokens): the valid equivalence classes of each host's template."""
+    """(host, host_pages, class, class_pages, tokens): each host's equivalence classes of at least two tokens."""
     seen = tokens(pages, url_col, html_col)
     vectors = seen.groupBy("host", "token").agg(F.count(F.lit(1)).alias("on_pages"), F.expr("bit_xor(xxhash64(page, n))").alias("x"), F.expr("sum(cast(pmod(xxhash64(n, page), 4294967296) as decimal(20,0)))").alias("s"))
     vectors = written(vectors.where(f"on_pages >= {least_pages}"), "vectors")
@@ -284,33 +481,90 @@ def deduce(pages: DataFrame, url_col: str = "url", html_col: str = "html", suppo
     return frequent.groupBy("host", "host_pages", F.xxhash64("x", "s", "on_pages").alias("class")).agg(F.max("on_pages").alias("class_pages"), F.sort_array(F.collect_list("token")).alias("tokens")).where(F.size("tokens") >= 2)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.6, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row per input row: id, url, text, n_chars."""
-    classes = deduce(pages, url_col, html_col, support)
-    templates = written(classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template")), "templates")
-    size = templates.agg(F.coalesce(F.sum(F.size("template") * 8 + F.length("host") + 64), F.lit(0))).first()[0]
+def _met(pages: DataFrame, by_host: DataFrame, size: int, url_col: str, html_col: str, broadcast_bytes: int, how: str, *keep) -> DataFrame:
+    """Pages with what is known of their host, which is broadcast where its size allows."""
 
     @F.arrow_udf("string")
     def host(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for arr in it:
             yield pa.array([host_of(u) for u in arr.to_pylist()], pa.string())
 
+    rows = pages.select(*keep, F.col(html_col).alias("_html"), host(F.col(url_col)).alias("_host"))
+    small = by_host.withColumnRenamed("host", "_host")
+    return rows.join(F.broadcast(small) if size <= broadcast_bytes else small, "_host", how)
+
+
+def _size(by_host: DataFrame) -> int:
+    return by_host.agg(F.coalesce(F.sum(F.size("tokens") * 16 + F.length("host") + 64), F.lit(0))).first()[0]
+
+
+def tree(pages: DataFrame, classes: DataFrame, url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(host, class, valid, width, parent, parent_slot, held): the classes of each host's template tree.
+
+    Width is how many tokens a run has, held the slots of the class with the text they have on pages without article or
+    main (class 0: on no slot). A class is valid if it holds a tag and is ordered and nested alike on all of its pages.
+    """
+    flat = classes.select("host", "class", F.explode("tokens").alias("token"))
+    by_host = written(flat.groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_list("class").alias("classes")), "classes")
+
+    kinds = "host string, page long, shape array<struct<c:long,o:long,p:long,s:int,ok:boolean,w:int>>, held array<struct<c:long,s:int,n:long>>"
+    one = pa.struct([("c", pa.int64()), ("o", pa.int64()), ("p", pa.int64()), ("s", pa.int32()), ("ok", pa.bool_()), ("w", pa.int32())])
+    two = pa.struct([("c", pa.int64()), ("s", pa.int32()), ("n", pa.int64())])
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for page, host, of in _by_host((b.columns for b in it), lambda tokens, classes: dict(zip(tokens, classes))):
+            walk = Walk(page)
+            shape, held = page_shape(walk, of)
+            yield host, _vote(walk), [dict(zip(one.names, x)) for x in shape], [dict(zip(two.names, x)) for x in held]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(rows(it), ["host", "page", "shape", "held"], [pa.string(), pa.int64(), pa.list_(one), pa.list_(two)], 128)
+
+    met = _met(pages, by_host, _size(by_host), url_col, html_col, broadcast_bytes, "inner").select("_html", "_host", "tokens", "classes")
+    seen = written(met.mapInArrow(run, kinds).dropDuplicates(["host", "page"]), "shapes")
+    shapes = seen.select("host", F.explode("shape").alias("z")).select("host", "z.*").groupBy("host", F.col("c").alias("class"))
+    same = (F.min("o") == F.max("o")) & (F.min("o") != 0) & F.min("ok") & (F.min(F.struct("p", "s")) == F.max(F.struct("p", "s")))
+    shapes = shapes.agg(same.alias("same"), F.max("w").alias("width"), F.when(same, F.max("p")).otherwise(0).alias("parent"), F.when(same, F.max("s")).otherwise(0).alias("parent_slot"))
+    held = seen.select("host", F.explode("held").alias("z")).select("host", "z.*").groupBy("host", F.col("c").alias("class"), "s").agg(F.sum("n").alias("n"))
+    held = held.groupBy("host", "class").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("held"))
+    tagged = classes.select("host", "class", F.exists("tokens", lambda t: F.shiftright(t, 62) == 0).alias("tagged"))
+    none = F.array().cast("array<struct<s:int,n:bigint>>")
+    named = shapes.join(tagged, ["host", "class"]).join(held, ["host", "class"], "full")
+    return named.select("host", "class", F.coalesce(F.col("same") & F.col("tagged"), F.lit(False)).alias("valid"), F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("parent", F.lit(0)).alias("parent"), F.coalesce("parent_slot", F.lit(0)).alias("parent_slot"), F.coalesce("held", none).alias("held"))
+
+
+def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", support: float = 0.6, least_pages: int = 3, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(host, tokens, classes, widths, main_class, main_slot): each host's template; widths are those of the tokens' classes."""
+    classes = written(deduce(pages, url_col, html_col, support, least_pages), "deduced")
+    nodes = written(tree(pages, classes, url_col, html_col, broadcast_bytes), "tree")
+
+    @F.arrow_udf("struct<main_class:long,main_slot:int>")
+    def main(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for arr in it:
+            got = []
+            for rows in arr.to_pylist():
+                got.append(main_slot({r["class"]: (r["valid"], r["parent"], r["parent_slot"]) for r in rows}, {(r["class"], h["s"]): h["n"] for r in rows for h in r["held"]}))
+            yield pa.StructArray.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([k for _, k in got], pa.int32())], names=["main_class", "main_slot"])
+
+    # A host's classes are fewer than the tokens of its largest page.
+    mains = nodes.groupBy("host").agg(F.collect_list(F.struct("class", "valid", "parent", "parent_slot", "held")).alias("rows")).select("host", main("rows").alias("m")).select("host", "m.*")
+    valid = nodes.where("valid").select("host", "class", "width").join(classes.select("host", "class", "tokens"), ["host", "class"])
+    flat = valid.select("host", "class", "width", F.explode("tokens").alias("token")).groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_list("class").alias("classes"), F.collect_list("width").alias("widths"))
+    return written(flat.join(mains, "host"), "templates")
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.6, least_pages: int = 3, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row per input row: id, url, text, n_chars."""
+    known = templates(pages, url_col, html_col, support, least_pages, broadcast_bytes)
+
     @F.arrow_udf("string")
-    def text(it: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        held: dict[str, frozenset[int]] = {}
-        for html, hosts, template in it:
-            out = []
-            for h, k, t in zip(pieces_of(html, 64), pieces_of(hosts, 64), pieces_of(template, 64)):
-                for j, (page, name) in enumerate(zip(h.to_pylist(), k.to_pylist())):
-                    if name not in held:
-                        if len(held) > 1000:
-                            held.clear()
-                        held[name] = frozenset(t[j].as_py() or ())
-                    out.append(main_text(Walk(page or ""), held[name]))
-            yield pa.array(out, pa.string())
-
-    rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("_html"), host(F.col(url_col)).alias("_host"))
-    small = templates.select(F.col("host").alias("_host"), "template")
-    met = rows.join(F.broadcast(small) if size <= broadcast_bytes else small, "_host", "left")
-    done = met.select(F.col(id_col), F.col(url_col), text("_html", "_host", "template").alias("text"))
+    def text(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        def make(tokens, classes, widths, c, k):
+            return Template(tokens, classes, dict(zip(classes, widths)), (c, k)) if tokens else Template()
+
+        for columns in it:
+            yield pa.array((main_text(Walk(page), template) for page, _, template in _by_host([columns], make)), pa.string())
+
+    met = _met(pages, known, _size(known), url_col, html_col, broadcast_bytes, "left", F.col(id_col), F.col(url_col))
+    done = met.select(F.col(id_col), F.col(url_col), text("_html", "_host", "tokens", "classes", "widths", "main_class", "main_slot").alias("text"))
     return done.withColumn("n_chars", F.length("text").cast("long"))
