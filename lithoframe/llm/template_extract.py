@@ -1,7 +1,7 @@
 """Main text of web pages by deducing each host's template from token equivalence classes.
 
 A page is a sequence of tokens: each start and end tag in its context (the path of tags, classes and ids above it) and
-each text block in its context. The template of a host is found in two passes over its pages, of which those of one block
+each text block in its context. The template of a host is found from the token sequences of its pages, of which those of one block
 sequence have one vote:
 
 * Classes. The occurrence vector of a token is how often it stands on each page; it is kept as the number of those pages
@@ -37,12 +37,13 @@ from collections.abc import Iterator
 from itertools import islice
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.components import written
+from lithoframe.llm.components import drop, written
 from lithoframe.llm.textarr import BROADCAST_BYTES
 
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
@@ -76,7 +77,8 @@ PLAIN = frozenset(
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 KEEP, HEADING_ONLY, DROP = 0, 1, 2
-START, END, TEXT = 0, 1, 2
+#: Tokens from here on are text; below are start tags, and end tags are their start tags' tokens, negative.
+TEXTS = 1 << 62
 #: The part of the text that the main slot, or a page's main container, must hold where no article or main marks it.
 NEARLY_ALL = 0.9
 #: The class and slot of what stands in no class.
@@ -121,8 +123,28 @@ def _kind(tag: str, attrs: dict[str, str]) -> int:
 
 
 def _hash(path: int, text: str) -> int:
-    """A token's or a path's number: a positive 63-bit hash."""
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), path) >> 1 or 1
+    """A path's number: a positive 62-bit hash over its parent's and its own label."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), path) >> 2 or 1
+
+
+def text_token(path: int, text: str) -> int:
+    return _hash(path, "\x00" + text) | TEXTS
+
+
+_known: dict[tuple[int, str, str], tuple[int, int, bool]] = {}
+
+
+def _element(above: int, tag: str, raw: str) -> tuple[int, int, bool]:
+    """Path, kind and whether it is main, of a start tag; kept, as a site's pages repeat them."""
+    if (got := _known.get((above, tag, raw))) is None:
+        attrs = _attributes(raw)
+        label = tag + "".join(f".{c}" for c in sorted(attrs.get("class", "").split())) + (f"#{attrs['id']}" if attrs.get("id") else "")
+        got = _hash(above, label), DROP if tag in RAW else _kind(tag, attrs), tag == "main" or attrs.get("role", "") == "main"
+        if len(_known) > 50_000:
+            _known.clear()
+        if len(raw) < 200:
+            _known[above, tag, raw] = got
+    return got
 
 
 class Walk:
@@ -132,13 +154,13 @@ class Walk:
         #: tag, kind, in article, in main, path, in a heading, container's path, block's path, places of the open block and paragraph
         self.stack: list[tuple] = [("", KEEP, False, False, 1, False, 1, 1, 0, 0)]
         self.places: dict[str, list[int]] = defaultdict(list)
-        self.starts: Counter[int] = Counter()
         #: the container around each container, outer ones first
         self.around: dict[int, int] = {1: 0}
         #: block's path, kept, in article, in main, container, text
         self.blocks: list[tuple[int, bool, bool, bool, int, str]] = []
-        #: what happens, and the path or the block's number
-        self.events: list[tuple[int, int]] = []
+        #: the page's tokens in order, and those of its blocks
+        self.sequence: list[int] = []
+        self.block_tokens: list[int] = []
         self.text: list[str] = []
         self.page, self.loose, self.closable = page, False, True
         self._read()
@@ -180,7 +202,7 @@ class Walk:
             if closing:
                 self._close(tag)
                 continue
-            self._open(tag, _attributes(page[name.end() : gt]))
+            self._open(tag, page[name.end() : gt])
             if tag in RAW:
                 m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
                 at = m.start() if m else end
@@ -210,19 +232,21 @@ class Walk:
         if not t:
             return
         _, kind, art, main, _, heading, container, block, _, _ = self.stack[-1]
-        self.events.append((TEXT, len(self.blocks)))
+        token = text_token(block, t)
+        self.sequence.append(token)
+        self.block_tokens.append(token)
         self.blocks.append((block, kind == KEEP or (kind == HEADING_ONLY and heading), art, main, container, t))
 
     def _pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
             tag, _, _, _, path, *_ = self.stack.pop()
             self.places[tag].pop()
-            self.events.append((END, path))
+            self.sequence.append(-path)
 
     def _last(self, tags: tuple[str, ...]) -> int:
         return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
 
-    def _open(self, tag: str, attrs: dict[str, str]) -> None:
+    def _open(self, tag: str, raw: str) -> None:
         if tag == "br" or tag == "wbr":
             if tag == "br":
                 self.text.append(" ")
@@ -237,9 +261,8 @@ class Walk:
         elif tag in CLOSES and (k := self._last(CLOSES[tag])) > self._last(HOLDS[tag]):
             self._pop_to(k)
         _, kind, art, main, above, heading, container, block, block_at, p_at = self.stack[-1]
-        path = _hash(above, tag + "".join(f".{c}" for c in sorted(attrs.get("class", "").split())) + (f"#{attrs['id']}" if attrs.get("id") else ""))
-        self.starts[path] += 1
-        self.events.append((START, path))
+        path, own, is_main = _element(above, tag, raw)
+        self.sequence.append(path)
         if tag in VOID:
             return
         if tag in CONTAINERS:
@@ -248,9 +271,8 @@ class Walk:
         at = len(self.stack)
         if tag in BLOCK:
             block, block_at, p_at = path, at, at if tag == "p" else 0
-        kind = DROP if tag in RAW else max(kind, _kind(tag, attrs))
         self.places[tag].append(at)
-        self.stack.append((tag, kind, art or tag == "article", main or tag == "main" or attrs.get("role", "") == "main", path, heading or tag in HEADINGS, container, block, block_at, p_at))
+        self.stack.append((tag, max(kind, own), art or tag == "article", main or is_main, path, heading or tag in HEADINGS, container, block, block_at, p_at))
 
     def _close(self, tag: str) -> None:
         if tag in BLOCK:
@@ -261,42 +283,19 @@ class Walk:
 
 
 def page_tokens(walk: Walk) -> Counter[int]:
-    """Counts of a page's tokens, tags below 2^62 and texts above; 0 stands for the page itself."""
-    out: Counter[int] = Counter({0: 1})
-    for path, n in walk.starts.items():
-        out[tag_token(path)] += n
-    for path, _, _, _, _, t in walk.blocks:
-        out[text_token(path, t)] += 1
-    return out
-
-
-def tag_token(path: int) -> int:
-    return path >> 1 or 1
-
-
-def text_token(path: int, text: str) -> int:
-    return _hash(path, "\x00" + text) >> 1 | 1 << 62
+    """Counts of a page's start tags and texts; 0 stands for the page itself."""
+    return Counter([0, *(t for t in walk.sequence if t > 0)])
 
 
 def is_tag(token: int) -> bool:
-    return token >> 62 == 0
-
+    return token < TEXTS
 
-def _sequence(walk: Walk, classes: dict[int, int]) -> Iterator[tuple[int, int, int]]:
-    """(class, token, block's number or -1) of a page's events in order; class 0 for text in none. An end tag is its start's token, negative."""
-    for what, x in walk.events:
-        if what == TEXT:
-            token = text_token(walk.blocks[x][0], walk.blocks[x][5])
-            yield classes.get(token, 0), token, x
-        elif c := classes.get(tag_token(x), 0):
-            yield c, tag_token(x) if what == START else -tag_token(x), -1
 
-
-def _orders(walk: Walk, classes: dict[int, int]) -> dict[int, tuple[int, ...]]:
+def _orders(sequence: list[int], classes: dict[int, int]) -> dict[int, tuple[int, ...]]:
     """Of each class on a page: the order in which its tokens repeat, or () if they don't repeat in one order."""
     seen: dict[int, list[int]] = defaultdict(list)
-    for c, token, _ in _sequence(walk, classes):
-        if c:
+    for token in sequence:
+        if c := classes.get(abs(token), 0):
             seen[c].append(token)
     out = {}
     for c, tokens in seen.items():
@@ -308,7 +307,7 @@ def _orders(walk: Walk, classes: dict[int, int]) -> dict[int, tuple[int, ...]]:
 class Parse:
     """A page parsed with ordered classes: in which slot each block stands, and where each class opens."""
 
-    def __init__(self, walk: Walk, classes: dict[int, int], sizes: dict[int, int]):
+    def __init__(self, sequence: list[int], classes: dict[int, int], sizes: dict[int, int]):
         #: open runs, inner ones last: class and slot
         stack: list[tuple[int, int]] = []
         held: set[int] = set()
@@ -317,9 +316,12 @@ class Parse:
         #: the open slots of each block in no class of its own, inner ones last
         self.slots: dict[int, tuple[tuple[int, int], ...]] = {}
         turn: Counter[int] = Counter()
-        for c, _, block in _sequence(walk, classes):
+        block = -1
+        for token in sequence:
+            c = classes.get(abs(token), 0)
+            block += token >= TEXTS
             if c not in sizes:
-                if block >= 0:
+                if token >= TEXTS:
                     self.slots[block] = tuple(stack)
                 continue
             k = turn[c] % sizes[c]
@@ -343,19 +345,21 @@ class Parse:
         self.broken |= held
 
 
-def page_shape(walk: Walk, classes: dict[int, int]) -> tuple[list[tuple[int, int, int, int, bool, int]], list[tuple[int, int, int]]]:
-    """(class, hash of its order, parent class, parent slot, nested, width) and (class, slot, text's length) of one page.
+def free_text(walk: Walk) -> list[int]:
+    """The length of each block as far as it is kept, on a page without a kept block in article or main; else 0."""
+    free = not any(kept and (art or main) for _, kept, art, main, _, _ in walk.blocks)
+    return [len(t) if free and kept else 0 for _, kept, _, _, _, t in walk.blocks]
+
 
-    Text counts only on pages without a kept block in article or main, and as far as it is kept.
-    """
-    orders = _orders(walk, classes)
-    parse = Parse(walk, classes, {c: len(o) for c, o in orders.items() if o})
+def page_shape(sequence: list[int], lengths: list[int], classes: dict[int, int]) -> tuple[list[tuple[int, int, int, int, bool, int]], list[tuple[int, int, int]]]:
+    """(class, hash of its order, parent class, parent slot, nested, width) and (class, slot, length of its text) of one page."""
+    orders = _orders(sequence, classes)
+    parse = Parse(sequence, classes, {c: len(o) for c, o in orders.items() if o})
     shape = [(c, xxhash.xxh64_intdigest(repr(o).encode(), 5) >> 1, *parse.parent[c], c not in parse.broken, len(o)) if o else (c, 0, 0, 0, False, 0) for c, o in orders.items()]
-    free = not any(kept and (art or main) for _, kept, art, main, _, _ in walk.blocks)
     held: Counter[tuple[int, int]] = Counter()
-    for b, open_ in parse.slots.items() if free else ():
-        if walk.blocks[b][1]:
-            held[open_[-1] if open_ else ROOT] += len(walk.blocks[b][5])
+    for b, open_ in parse.slots.items():
+        if lengths[b]:
+            held[open_[-1] if open_ else ROOT] += lengths[b]
     return shape, [(c, k, n) for (c, k), n in held.items()]
 
 
@@ -394,7 +398,7 @@ class Template:
 def main_text(walk: Walk, template: Template | None = None, full: bool = True) -> str:
     """The main text of a page by its host's template, if it has one. ``full``: template text goes from articles as well."""
     template, blocks = template or Template(), walk.blocks
-    fixed = [text_token(b[0], b[5]) in template.of for b in blocks] if template.of else [False] * len(blocks)
+    fixed = [t in template.of for t in walk.block_tokens]
     size = common = 0
     for (_, kept, art, main, _, t), f in zip(blocks, fixed):
         if kept and (art or main):
@@ -406,7 +410,7 @@ def main_text(walk: Walk, template: Template | None = None, full: bool = True) -
         if any(blocks[k][place] for k in left):
             return "\n\n".join(blocks[k][5] for k in left if blocks[k][place])
     if template.main != ROOT:
-        slots = Parse(walk, template.of, template.sizes).slots
+        slots = Parse(walk.sequence, template.of, template.sizes).slots
         if inside := [k for k in left if template.main in slots.get(k, ())]:
             return "\n\n".join(blocks[k][5] for k in inside)
     # The deepest container that holds nearly all of the text, with what is below it.
@@ -428,7 +432,7 @@ def main_text(walk: Walk, template: Template | None = None, full: bool = True) -
 
 def _vote(walk: Walk) -> int:
     """A hash of a page's block sequence: pages of one host that share it have one vote."""
-    return xxhash.xxh64_intdigest("\x00".join(f"{path}\x01{t}" for path, _, _, _, _, t in walk.blocks).encode("utf-8", "replace"), 3) >> 1
+    return xxhash.xxh64_intdigest(np.array(walk.block_tokens, np.int64).tobytes(), 3) >> 1
 
 
 def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], at_once: int) -> Iterator[pa.RecordBatch]:
@@ -437,22 +441,24 @@ def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType],
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*part), kinds)], names=names)
 
 
-def _by_host(batches: Iterator, make) -> Iterator[tuple]:
-    """(page, host, make(the other columns)) of each row; what is made is kept for up to 1,000 hosts."""
+def _by_host(batches: Iterator, own: int, make) -> Iterator[tuple]:
+    """(own columns, host, make(the columns after it)) of each row; what is made is kept for up to 1,000 hosts."""
     held: dict = {}
-    for html, hosts, *known in batches:
-        for at in range(0, len(html), 64):
-            part = [x.slice(at, 64) for x in (html, hosts, *known)]
-            for j, (page, name) in enumerate(zip(part[0].to_pylist(), part[1].to_pylist())):
+    for columns in batches:
+        for at in range(0, len(columns[0]), 64):
+            part = [x.slice(at, 64) for x in columns]
+            for j, (*mine, name) in enumerate(zip(*(x.to_pylist() for x in part[: own + 1]))):
                 if name not in held:
                     if len(held) > 1000:
                         held.clear()
-                    held[name] = make(*(x[j].as_py() for x in part[2:]))
-                yield page or "", name, held[name]
+                    held[name] = make(*(x[j].as_py() for x in part[own + 1 :]))
+                yield mine, name, held[name]
 
 
-def tokens(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(host, page, token, n): the tokens of one page of each distinct block sequence of a host."""
+def sequences(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """(host, page, sequence, lengths, tokens, ns) of one page of each distinct block sequence of a host, written."""
+    names = ["host", "page", "sequence", "lengths", "tokens", "ns"]
+    kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in it:
@@ -460,20 +466,23 @@ def tokens(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
                 for u, h in zip(part.column("u").to_pylist(), part.column("h").to_pylist()):
                     walk = Walk(h or "")
                     got = page_tokens(walk)
-                    yield host_of(u), _vote(walk), list(got.keys()), list(got.values())
+                    yield host_of(u), _vote(walk), walk.sequence, free_text(walk), list(got.keys()), list(got.values())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(rows(it), ["host", "page", "tokens", "ns"], [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())], 128)
+        yield from _batches(rows(it), names, kinds, 128)
 
-    seen = pages.select(F.col(url_col).alias("u"), F.col(html_col).alias("h")).mapInArrow(run, "host string, page long, tokens array<long>, ns array<long>")
-    one = seen.dropDuplicates(["host", "page"])
-    return one.select("host", "page", F.explode(F.arrays_zip("tokens", "ns")).alias("z")).select("host", "page", F.col("z.tokens").alias("token"), F.col("z.ns").alias("n"))
+    seen = pages.select(F.col(url_col).alias("u"), F.col(html_col).alias("h")).mapInArrow(run, "host string, page long, sequence array<long>, lengths array<int>, tokens array<long>, ns array<long>")
+    return written(seen.dropDuplicates(["host", "page"]), "sequences")
 
 
 def deduce(pages: DataFrame, url_col: str = "url", html_col: str = "html", support: float = 0.6, least_pages: int = 3) -> DataFrame:
     """(host, host_pages, class, class_pages, tokens): each host's equivalence classes of at least two tokens."""
-    seen = tokens(pages, url_col, html_col)
-    vectors = seen.groupBy("host", "token").agg(F.count(F.lit(1)).alias("on_pages"), F.expr("bit_xor(xxhash64(page, n))").alias("x"), F.expr("sum(cast(pmod(xxhash64(n, page), 4294967296) as decimal(20,0)))").alias("s"))
+    return classes_of(sequences(pages, url_col, html_col), support, least_pages)
+
+
+def classes_of(seen: DataFrame, support: float = 0.6, least_pages: int = 3) -> DataFrame:
+    flat = seen.select("host", "page", F.explode(F.arrays_zip("tokens", "ns")).alias("z")).select("host", "page", F.col("z.tokens").alias("token"), F.col("z.ns").alias("n"))
+    vectors = flat.groupBy("host", "token").agg(F.count(F.lit(1)).alias("on_pages"), F.expr("bit_xor(xxhash64(page, n))").alias("x"), F.expr("sum(cast(pmod(xxhash64(n, page), 4294967296) as decimal(20,0)))").alias("s"))
     vectors = written(vectors.where(f"on_pages >= {least_pages}"), "vectors")
     hosts = vectors.where("token = 0").select("host", F.col("on_pages").alias("host_pages"))
     frequent = vectors.where("token <> 0").join(hosts, "host").where(F.col("on_pages") >= F.lit(support) * F.col("host_pages"))
@@ -481,53 +490,40 @@ def deduce(pages: DataFrame, url_col: str = "url", html_col: str = "html", suppo
     return frequent.groupBy("host", "host_pages", F.xxhash64("x", "s", "on_pages").alias("class")).agg(F.max("on_pages").alias("class_pages"), F.sort_array(F.collect_list("token")).alias("tokens")).where(F.size("tokens") >= 2)
 
 
-def _met(pages: DataFrame, by_host: DataFrame, size: int, url_col: str, html_col: str, broadcast_bytes: int, how: str, *keep) -> DataFrame:
-    """Pages with what is known of their host, which is broadcast where its size allows."""
-
-    @F.arrow_udf("string")
-    def host(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for arr in it:
-            yield pa.array([host_of(u) for u in arr.to_pylist()], pa.string())
-
-    rows = pages.select(*keep, F.col(html_col).alias("_html"), host(F.col(url_col)).alias("_host"))
-    small = by_host.withColumnRenamed("host", "_host")
-    return rows.join(F.broadcast(small) if size <= broadcast_bytes else small, "_host", how)
+def _met(rows: DataFrame, by_host: DataFrame, broadcast_bytes: int, how: str) -> DataFrame:
+    """Rows with what is known of their host, which is broadcast where its size allows."""
+    size = by_host.agg(F.coalesce(F.sum(F.size("tokens") * 20 + F.length("host") + 64), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(by_host) if size <= broadcast_bytes else by_host, "host", how)
 
 
-def _size(by_host: DataFrame) -> int:
-    return by_host.agg(F.coalesce(F.sum(F.size("tokens") * 16 + F.length("host") + 64), F.lit(0))).first()[0]
-
-
-def tree(pages: DataFrame, classes: DataFrame, url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def tree(seen: DataFrame, classes: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(host, class, valid, width, parent, parent_slot, held): the classes of each host's template tree.
 
     Width is how many tokens a run has, held the slots of the class with the text they have on pages without article or
-    main (class 0: on no slot). A class is valid if it holds a tag and is ordered and nested alike on all of its pages.
+    main (class 0: in no slot). A class is valid if it holds a tag and is ordered and nested alike on all of its pages.
     """
     flat = classes.select("host", "class", F.explode("tokens").alias("token"))
     by_host = written(flat.groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_list("class").alias("classes")), "classes")
 
-    kinds = "host string, page long, shape array<struct<c:long,o:long,p:long,s:int,ok:boolean,w:int>>, held array<struct<c:long,s:int,n:long>>"
     one = pa.struct([("c", pa.int64()), ("o", pa.int64()), ("p", pa.int64()), ("s", pa.int32()), ("ok", pa.bool_()), ("w", pa.int32())])
     two = pa.struct([("c", pa.int64()), ("s", pa.int32()), ("n", pa.int64())])
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for page, host, of in _by_host((b.columns for b in it), lambda tokens, classes: dict(zip(tokens, classes))):
-            walk = Walk(page)
-            shape, held = page_shape(walk, of)
-            yield host, _vote(walk), [dict(zip(one.names, x)) for x in shape], [dict(zip(two.names, x)) for x in held]
+        for (sequence, lengths), host, of in _by_host((b.columns for b in it), 2, lambda tokens, classes: dict(zip(tokens, classes))):
+            shape, held = page_shape(sequence, lengths, of)
+            yield host, [dict(zip(one.names, x)) for x in shape], [dict(zip(two.names, x)) for x in held]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(rows(it), ["host", "page", "shape", "held"], [pa.string(), pa.int64(), pa.list_(one), pa.list_(two)], 128)
+        yield from _batches(rows(it), ["host", "shape", "held"], [pa.string(), pa.list_(one), pa.list_(two)], 128)
 
-    met = _met(pages, by_host, _size(by_host), url_col, html_col, broadcast_bytes, "inner").select("_html", "_host", "tokens", "classes")
-    seen = written(met.mapInArrow(run, kinds).dropDuplicates(["host", "page"]), "shapes")
-    shapes = seen.select("host", F.explode("shape").alias("z")).select("host", "z.*").groupBy("host", F.col("c").alias("class"))
+    met = _met(seen.select("host", "sequence", "lengths"), by_host, broadcast_bytes, "inner").select("sequence", "lengths", "host", "tokens", "classes")
+    got = written(met.mapInArrow(run, "host string, shape array<struct<c:long,o:long,p:long,s:int,ok:boolean,w:int>>, held array<struct<c:long,s:int,n:long>>"), "shapes")
+    shapes = got.select("host", F.explode("shape").alias("z")).select("host", "z.*").groupBy("host", F.col("c").alias("class"))
     same = (F.min("o") == F.max("o")) & (F.min("o") != 0) & F.min("ok") & (F.min(F.struct("p", "s")) == F.max(F.struct("p", "s")))
     shapes = shapes.agg(same.alias("same"), F.max("w").alias("width"), F.when(same, F.max("p")).otherwise(0).alias("parent"), F.when(same, F.max("s")).otherwise(0).alias("parent_slot"))
-    held = seen.select("host", F.explode("held").alias("z")).select("host", "z.*").groupBy("host", F.col("c").alias("class"), "s").agg(F.sum("n").alias("n"))
+    held = got.select("host", F.explode("held").alias("z")).select("host", "z.*").groupBy("host", F.col("c").alias("class"), "s").agg(F.sum("n").alias("n"))
     held = held.groupBy("host", "class").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("held"))
-    tagged = classes.select("host", "class", F.exists("tokens", lambda t: F.shiftright(t, 62) == 0).alias("tagged"))
+    tagged = classes.select("host", "class", F.exists("tokens", lambda t: t < TEXTS).alias("tagged"))
     none = F.array().cast("array<struct<s:int,n:bigint>>")
     named = shapes.join(tagged, ["host", "class"]).join(held, ["host", "class"], "full")
     return named.select("host", "class", F.coalesce(F.col("same") & F.col("tagged"), F.lit(False)).alias("valid"), F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("parent", F.lit(0)).alias("parent"), F.coalesce("parent_slot", F.lit(0)).alias("parent_slot"), F.coalesce("held", none).alias("held"))
@@ -535,8 +531,9 @@ def tree(pages: DataFrame, classes: DataFrame, url_col: str = "url", html_col: s
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", support: float = 0.6, least_pages: int = 3, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(host, tokens, classes, widths, main_class, main_slot): each host's template; widths are those of the tokens' classes."""
-    classes = written(deduce(pages, url_col, html_col, support, least_pages), "deduced")
-    nodes = written(tree(pages, classes, url_col, html_col, broadcast_bytes), "tree")
+    seen = sequences(pages, url_col, html_col)
+    classes = written(classes_of(seen, support, least_pages), "deduced")
+    nodes = written(tree(seen, classes, broadcast_bytes), "tree")
 
     @F.arrow_udf("struct<main_class:long,main_slot:int>")
     def main(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -550,21 +547,29 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", su
     mains = nodes.groupBy("host").agg(F.collect_list(F.struct("class", "valid", "parent", "parent_slot", "held")).alias("rows")).select("host", main("rows").alias("m")).select("host", "m.*")
     valid = nodes.where("valid").select("host", "class", "width").join(classes.select("host", "class", "tokens"), ["host", "class"])
     flat = valid.select("host", "class", "width", F.explode("tokens").alias("token")).groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_list("class").alias("classes"), F.collect_list("width").alias("widths"))
-    return written(flat.join(mains, "host"), "templates")
+    out = written(flat.join(mains, "host"), "templates")
+    drop(seen, classes, nodes)
+    return out
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.6, least_pages: int = 3, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per input row: id, url, text, n_chars."""
     known = templates(pages, url_col, html_col, support, least_pages, broadcast_bytes)
 
+    @F.arrow_udf("string")
+    def host(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for arr in it:
+            yield pa.array([host_of(u) for u in arr.to_pylist()], pa.string())
+
     @F.arrow_udf("string")
     def text(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         def make(tokens, classes, widths, c, k):
             return Template(tokens, classes, dict(zip(classes, widths)), (c, k)) if tokens else Template()
 
         for columns in it:
-            yield pa.array((main_text(Walk(page), template) for page, _, template in _by_host([columns], make)), pa.string())
+            yield pa.array((main_text(Walk(page or ""), template) for (page,), _, template in _by_host([columns], 1, make)), pa.string())
 
-    met = _met(pages, known, _size(known), url_col, html_col, broadcast_bytes, "left", F.col(id_col), F.col(url_col))
-    done = met.select(F.col(id_col), F.col(url_col), text("_html", "_host", "tokens", "classes", "widths", "main_class", "main_slot").alias("text"))
+    rows = pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.col(html_col).alias("h"), host(F.col(url_col)).alias("host"))
+    met = _met(rows, known, broadcast_bytes, "left")
+    done = met.select(F.col("i").alias(id_col), F.col("u").alias(url_col), text("h", "host", "tokens", "classes", "widths", "main_class", "main_slot").alias("text"))
     return done.withColumn("n_chars", F.length("text").cast("long"))
