@@ -61,7 +61,7 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices in every whole text of documents."""
-    return license_dice.find_licenses(table(spark, sf_dir, "documents"))
+    return license_dice.find_licenses(table(spark, sf_dir, "documents"), windows=True)
 
 
 def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
