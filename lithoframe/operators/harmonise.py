@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from lithoframe.functions import scalars as S
 from lithoframe.functions import vectors as V
 from lithoframe.operators import planes as P
+from lithoframe.operators.quantiles import quantiles
 from lithoframe.operators.tiles import stencil
+from lithoframe.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -49,10 +51,16 @@ def _columns(n: int, f) -> list:
 
 def robust_affine(pairs: DataFrame, bands: int, s: Settings, passes: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Gain and offset of b on a for each band (arrays a, b): quartiles, then reweighted passes, then smoothing over bands."""
-    p = [0.1, 0.25, 0.5, 0.75, 0.9]
     a, b = (lambda k: F.col("a")[k]), (lambda k: F.col("b")[k])
-    q = pairs.agg(F.array(*_columns(bands, lambda k: F.percentile(a(k), p))).alias("x"), F.array(*_columns(bands, lambda k: F.percentile(b(k), p))).alias("y"), F.array(*_columns(bands, lambda k: F.count(a(k) * b(k)))).alias("n")).first()
-    x, y, n = np.array(q.x, float), np.array(q.y, float), np.array(q.n)
+
+    def per_band(f, probs: list[float]) -> np.ndarray:
+        """Exact quantiles of f(k) for each band k, as (bands, probs); a band without values has zeros."""
+        q = quantiles(pairs, [], {f"q{k}": f(k) for k in range(bands)}, probs).first()
+        return np.array([q[f"q{k}"] or [0.0] * len(probs) for k in range(bands)], float)
+
+    p = [0.1, 0.25, 0.5, 0.75, 0.9]
+    x, y = per_band(a, p), per_band(b, p)
+    n = np.array(pairs.agg(F.array(*_columns(bands, lambda k: F.count(a(k) * b(k)))).alias("n")).first().n)
     dx = x[:, 3] - x[:, 1]
     gain = np.clip(np.where(np.abs(dx) > 1e-9, (y[:, 3] - y[:, 1]) / np.where(np.abs(dx) > 1e-9, dx, 1), 1.0), *s.gain_limits)
     offset = y[:, 2] - gain * x[:, 2]
@@ -62,8 +70,8 @@ def robust_affine(pairs: DataFrame, bands: int, s: Settings, passes: int = 4) ->
 
     for _ in range(passes):
         res = lambda k: F.when(kept(k), b(k) - (float(gain[k]) * a(k) + float(offset[k])))
-        mid = np.array(pairs.agg(F.array(*_columns(bands, lambda k: F.percentile(res(k), 0.5))).alias("m")).first().m, float)
-        scale = 1.4826 * np.array(pairs.agg(F.array(*_columns(bands, lambda k: F.percentile(F.abs(res(k) - float(mid[k])), 0.5))).alias("m")).first().m, float) + 1e-6
+        mid = per_band(res, [0.5])[:, 0]
+        scale = 1.4826 * per_band(lambda k: F.abs(res(k) - float(mid[k])), [0.5])[:, 0] + 1e-6
 
         def sums(k: int):
             w = 1 / (1 + (res(k) / float(2.5 * scale[k])) ** 2)
@@ -89,9 +97,10 @@ def band_noise(df: DataFrame, v: str, bands: int) -> np.ndarray:
     names = [f"b{k}" for k in range(bands)]
     wide = df.select("y", "x", *[F.coalesce(F.col(v)[k], F.lit(0.0)).alias(n) for k, n in enumerate(names)])
     r = stencil(wide, lambda a: {n: a[n] - P.gaussian(a[n], 0.8) for n in names}, names, names, P.reach(0.8))
-    mid = r.agg(*[F.percentile(n, 0.5).alias(n) for n in names]).first()
-    mad = r.agg(*[F.percentile(F.abs(F.col(n) - float(mid[n])), 0.5).alias(n) for n in names]).first()
-    return np.maximum(1.4826 * np.array([mad[n] for n in names], float), 1e-6)
+    r = checkpointed(r)  # read twice; the stencil shuffles once
+    mid = quantiles(r, [], {n: F.col(n) for n in names}, [0.5]).first()
+    mad = quantiles(r, [], {n: F.abs(F.col(n) - float(mid[n][0])) for n in names}, [0.5]).first()
+    return np.maximum(1.4826 * np.array([mad[n][0] for n in names], float), 1e-6)
 
 
 def reliability(noise: np.ndarray) -> np.ndarray:
@@ -113,8 +122,9 @@ def harmonise(nir: DataFrame, swir: DataFrame, nir_w: np.ndarray, swir_w: np.nda
     mid = lambda c: F.array_sort(F.filter(c, lambda v: v.isNotNull()))
     half = lambda c: F.get(mid(c), F.floor(F.size(mid(c)) / 2).cast("int"))
     level = over.withColumn("i", 0.5 * half(F.col("a")) + 0.5 * half(F.col("b")))
-    q = level.agg(F.count("i").alias("n"), F.percentile("i", [0.05, 0.985]).alias("q")).first()
-    material = level if q.n < 32 else level.where((F.col("i") > q.q[0]) & (F.col("i") < q.q[1]))
+    known = level.where("i is not null")
+    q = quantiles(known, [], {"q": F.col("i")}, [0.05, 0.985]).first()
+    material = level if q.n_rows < 32 else level.where((F.col("i") > q.q[0]) & (F.col("i") < q.q[1]))
     gain, offset = robust_affine(material, len(idx), s)
     g_all, o_all = np.interp(swir_w, swir_w[idx], gain), np.interp(swir_w, swir_w[idx], offset)
     cal = over.select("y", "x", "n", F.zip_with(F.zip_with("w", V.lit_vector(g_all), lambda v, g: v * g), V.lit_vector(o_all), lambda v, o: v + o).alias("w"))
@@ -131,7 +141,8 @@ def harmonise(nir: DataFrame, swir: DataFrame, nir_w: np.ndarray, swir_w: np.nda
     shared = np.flatnonzero((nw > 0) & (ww > 0))
     dis = np.zeros(len(t))
     if len(shared):
-        dis[shared] = np.array(on.agg(F.array(*[F.percentile(F.abs(F.col("n")[int(k)] - F.col("w")[int(k)]), 0.5) for k in shared]).alias("m")).first().m, float)
+        apart = quantiles(on, [], {f"d{k}": F.abs(F.col("n")[int(k)] - F.col("w")[int(k)]) for k in shared}, [0.5]).first()
+        dis[shared] = [(apart[f"d{k}"] or [0.0])[0] for k in shared]
     base = 1 / np.maximum(nw + ww, 1e-6)
     base /= max(float(np.median(base)), 1e-6)
     unc = np.clip(0.65 * base + 0.35 * dis / max(float(np.median(dis[shared])) if len(shared) else 0.0, 1e-6), 0, 10)

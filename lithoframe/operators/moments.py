@@ -5,7 +5,9 @@ All of them are sums, so Spark adds them up before the shuffle, and none raises
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FLOOR = 1e-12
@@ -80,17 +82,54 @@ def prediction_metrics(observed: Column, predicted: Column, baseline: Column) ->
     return {"n": m["n"], "r2": F.when(base > FLOOR, 1 - sse / F.when(base > FLOOR, base)), "rho": correlation(m, 3), "rmse": root, "nrmse": F.when(m["vx"] > FLOOR, root / F.sqrt(F.when(m["vx"] > FLOOR, m["vx"])))}
 
 
-def error_summary(e: Column) -> dict[str, Column]:
-    return {"mean": F.avg(e), "median": F.percentile(e, 0.5), "p95": F.percentile(e, 0.95), "max": F.max(e)}
-
-
-def mad(residual: Column) -> Column:
-    """1.4826 times the median of absolute values (of a residual centred already)."""
-    return 1.4826 * F.percentile(F.abs(residual), 0.5)
-
-
 def clip_statistics(v: Column, lo: float, hi: float | None) -> dict[str, Column]:
     """Counts beyond the limits and the ranges before and after clipping."""
     held = F.greatest(v, F.lit(float(lo)))
     held = F.least(held, F.lit(float(hi))) if hi is not None else held
     return {"n": F.count(v), "below": F.count_if(v < lo), "above": F.count_if(v > hi) if hi is not None else F.lit(0).cast("long"), "min_before": F.min(v), "max_before": F.max(v), "min_after": F.min(held), "max_after": F.max(held)}
+
+
+def band_moments(df: DataFrame, x: str, y: str, bands: int) -> DataFrame:
+    """(band, n, mx, my, vx, vy, cxy) of two array columns: one Arrow pass sums whole batches, a row a band and partition is shuffled.
+
+    Plans and generated code don't grow with the bands. Sums are merged with their means, so no precision is lost to large offsets.
+    """
+    names = ["band", "n", "mx", "my", "vx", "vy", "cxy"]
+    schema = pa.schema([("band", pa.int32()), ("n", pa.int64()), *((k, pa.float64()) for k in names[2:])])
+
+    def run(it):
+        held = [np.zeros(bands) for _ in names[1:]]
+        for batch in it:
+            for at in range(0, len(batch), 4096):
+                a, b = (np.array(batch.column(c).slice(at, 4096).to_pylist(), float).reshape(-1, bands) for c in ("a", "b"))
+                ok = np.isfinite(a) & np.isfinite(b)
+                n = ok.sum(0).astype(float)
+                a, b, d = np.where(ok, a, 0), np.where(ok, b, 0), np.maximum(n, 1)
+                ma, mb = a.sum(0) / d, b.sum(0) / d
+                da, db = np.where(ok, a - ma, 0), np.where(ok, b - mb, 0)
+                held = _merged(held, [n, ma, mb, (da * da).sum(0), (db * db).sum(0), (da * db).sum(0)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(bands, dtype=np.int32)), pa.array(held[0].astype(np.int64)), *map(pa.array, held[1:])], schema=schema)
+
+    sums = df.select(F.col(x).alias("a"), F.col(y).alias("b")).mapInArrow(run, "band int, n long, mx double, my double, vx double, vy double, cxy double").where("n > 0")
+    # Merging of centred sums: within parts, and of the parts' means around the common mean.
+    w = sums.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.expr("n * mx")).alias("sx"), F.sum(F.expr("n * my")).alias("sy"), F.sum("vx").alias("wx"), F.sum("vy").alias("wy"), F.sum("cxy").alias("wxy"), F.collect_list(F.struct("n", "mx", "my")).alias("parts"))
+    mx, my = F.col("sx") / F.col("n"), F.col("sy") / F.col("n")
+
+    def between(f):
+        return F.aggregate("parts", F.lit(0.0), lambda t, p: t + p["n"] * f(p))
+
+    return w.withColumn("mx", mx).withColumn("my", my).select(
+        "band", "n", "mx", "my",
+        ((F.col("wx") + between(lambda p: (p["mx"] - F.col("mx")) ** 2)) / F.col("n")).alias("vx"),
+        ((F.col("wy") + between(lambda p: (p["my"] - F.col("my")) ** 2)) / F.col("n")).alias("vy"),
+        ((F.col("wxy") + between(lambda p: (p["mx"] - F.col("mx")) * (p["my"] - F.col("my")))) / F.col("n")).alias("cxy"),
+    )
+
+
+def _merged(one: list, two: list) -> list:
+    """Counts, means and centred sums of two parts together."""
+    n = one[0] + two[0]
+    d = np.maximum(n, 1)
+    dx, dy = two[1] - one[1], two[2] - one[2]
+    k = one[0] * two[0] / d
+    return [n, one[1] + dx * two[0] / d, one[2] + dy * two[0] / d, one[3] + two[3] + k * dx * dx, one[4] + two[4] + k * dy * dy, one[5] + two[5] + k * dx * dy]

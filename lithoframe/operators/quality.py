@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lithoframe.operators import moments as M
 from lithoframe.operators import planes as P
 from lithoframe.operators.detail import luma
+from lithoframe.operators.quantiles import quantiles
 from lithoframe.operators.registration import sample
 from lithoframe.operators.tiles import stencil
 
@@ -60,10 +61,12 @@ def detail_planes(df: DataFrame, band: str, scales=SCALES, eps: float = 0.012) -
 def masks(d: DataFrame, lim: dict[str, float] | None = None) -> DataFrame:
     """detail_planes with boolean columns all_valid, dark, reliable, dark_reliable, flat, from percentiles of the valid pixels."""
     lim = lim or limits()
-    signal = d.where("luma > 0.003").agg(F.percentile("luma", [0.01, lim["dark_percentile"] / 100]).alias("q")).first().q or [0.003, 0.003]
+    lit = quantiles(d.where("luma > 0.003"), [], {"q": F.col("luma")}, [0.01, lim["dark_percentile"] / 100]).first()
+    signal = lit and lit.q or [0.003, 0.003]
     valid = F.col("luma") > max(float(signal[0]), 0.003)
-    q = d.where(valid).agg(F.percentile("strength", [lim["detail_percentile"] / 100, lim["flat_percentile"] / 100]).alias("s"), F.percentile("gradient", lim["flat_percentile"] / 100).alias("g")).first()
-    s, g = (q.s or [0.0, 0.0]), (q.g or 0.0)
+    detail, flat = lim["detail_percentile"] / 100, lim["flat_percentile"] / 100
+    q = quantiles(d.where(valid), [], {"s": F.col("strength"), "g": F.col("gradient")}, [detail, flat]).first()
+    s, g = (q and q.s or [0.0, 0.0]), (q and q.g or [0.0, 0.0])[1]
     dark = valid & (F.col("luma") <= float(signal[1]))
     reliable = valid & (F.col("coherence") >= lim["coherence_min"]) & (F.col("strength") >= float(s[0]))
     flat = valid & (F.col("gradient") <= float(g)) & (F.col("strength") <= float(s[1]))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lithoframe.operators import planes as P
 from lithoframe.operators import resample as R
+from lithoframe.operators.quantiles import quantiles
 from lithoframe.operators.tiles import stencil
 from lithoframe.plans.base import PX, WIDTH, pixels, q6, query, r6
 
@@ -247,14 +248,14 @@ def jacobian_p01(spark, sf_dir):
     wy, wx = Window.partitionBy("x").orderBy("y"), Window.partitionBy("y").orderBy("x")
     c = lambda v, w: (F.lead(v).over(w) - F.lag(v).over(w)) / 2
     g = d.select(c("sy", wy).alias("yy"), c("sx", wx).alias("xx"), c("sy", wx).alias("yx"), c("sx", wy).alias("xy")).where("yy is not null and xx is not null")
-    return g.agg(r6(F.percentile(F.expr("(1 + yy) * (1 + xx) - yx * xy"), 0.01), "jacobian_p01"), F.count(F.lit(1)).alias("n"))
+    return quantiles(g, [], {"q": F.expr("(1 + yy) * (1 + xx) - yx * xy")}, [0.01]).select(r6(F.col("q")[0], "jacobian_p01"), F.col("n_rows").alias("n"))
 
 
 @query(f"WITH {_PLANE}, {sql_gradient('p', 'g', 'scharr')}, c AS (SELECT x, quantile_cont(abs(gx), 0.82) AS v FROM g GROUP BY x) SELECT x, {_v('profile', 'avg(v) OVER (ORDER BY x ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)')} FROM c")
 def column_profile(spark, sf_dir):
     """Column line profile: a high quantile of horizontal gradients in each column, smoothed along columns."""
     g = stencil(plane(spark, sf_dir), lambda a: {"gx": P.gradient(a["v"], "scharr")[0]}, ["v"], ["gx"], 1, tile=16)
-    c = g.groupBy("x").agg(F.percentile(F.abs("gx"), 0.82).alias("v"))
+    c = quantiles(g, ["x"], {"v": F.abs("gx")}, [0.82]).select("x", F.col("v")[0].alias("v"))
     # One row a column of one plane; planes are windows of their own where there are several.
     w = Window.partitionBy(F.lit(0)).orderBy("x").rowsBetween(-4, 4)
     return c.select("x", r6(F.avg("v").over(w), "profile"))
@@ -315,7 +316,7 @@ def edge_f1(spark, sf_dir):
         return {"ax": ax, "ay": ay, "bx": bx, "by": by, "ga": np.hypot(ax, ay), "gb": np.hypot(bx, by)}
 
     g = stencil(d, k, ["a", "b"], ["ax", "ay", "bx", "by", "ga", "gb"], 1, tile=16)
-    q = g.agg(F.percentile("ga", 0.9).alias("qa"), F.percentile("gb", 0.9).alias("qb"))
+    q = quantiles(g, [], {"qa": F.col("ga"), "qb": F.col("gb")}, [0.9]).select(F.col("qa")[0].alias("qa"), F.col("qb")[0].alias("qb"))
     e = g.join(F.broadcast(q), F.lit(True)).withColumn("ea", (F.col("ga") >= F.col("qa")).cast("double")).withColumn("eb", (F.col("gb") >= F.col("qb")).cast("double"))
     # Outside the plane there are no edges, so the mirrored border is masked by where it came from: dilation of a mirror adds nothing new within one pixel.
     n = stencil(e.select("y", "x", "ea", "eb"), lambda z: {"da": P.dilate(z["ea"]), "db": P.dilate(z["eb"])}, ["ea", "eb"], ["da", "db"], 1, tile=16)

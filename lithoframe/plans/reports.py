@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lithoframe.operators import report as R
+from lithoframe.operators.quantiles import quantiles
 from lithoframe.plans.base import BANDS, PX, pixels, q6, query, r6, table
-from lithoframe.plans.statistics import _with_reference
 from lithoframe.plans.base import REF
+from lithoframe.plans.statistics import _with_reference
 
 _LIMITS = [("avg_quantity", 20.0, 30.0), ("avg_discount", 0.049, None), ("avg_tax", None, 0.05), ("avg_price", 1.0, 1e9)]
 _MET = "m AS (SELECT o_orderpriority AS g, 'avg_quantity' AS metric, avg(l_quantity) AS value FROM j GROUP BY 1 UNION ALL SELECT o_orderpriority, 'avg_discount', avg(l_discount) FROM j GROUP BY 1 UNION ALL SELECT o_orderpriority, 'avg_tax', avg(l_tax) FROM j GROUP BY 1)"
@@ -189,7 +190,7 @@ def representative_spectra(spark, sf_dir):
     from lithoframe.functions import vectors as V
 
     s = pixels(spark, sf_dir).select("vec_id", (V.total(F.col("v")) / 64).alias("m"), F.sqrt(V.dot(F.col("v"), F.col("v")) / 64).alias("r"))
-    t = s.agg(F.percentile("m", [0.18, 0.5, 0.82]).alias("q")).select(F.posexplode("q").alias("pick", "target"))
+    t = quantiles(s, [], {"q": F.col("m")}, [0.18, 0.5, 0.82]).select(F.posexplode("q").alias("pick", "target"))
     near = s.join(F.broadcast(t), F.abs(F.col("m") - F.col("target")) <= 0.01)  # three targets
     return near.groupBy("pick").agg(F.min_by("vec_id", F.struct((-F.round("r", 9)).alias("r"), "vec_id")).alias("vec_id"))
 

@@ -11,6 +11,7 @@ from lithoframe.functions import vectors as V
 from lithoframe.operators import lowrank as L
 from lithoframe.operators import moments as M
 from lithoframe.operators import planes as P
+from lithoframe.operators.quantiles import quantiles
 from lithoframe.operators.tiles import stencil
 from lithoframe.plans.base import AXIS, BANDS, LONG, PX, REF, mean_spectrum, pixels, q6, query, r6, table
 from lithoframe.plans.grid import sql_along
@@ -64,8 +65,9 @@ def band_noise(spark, sf_dir):
     """Noise of a band: median absolute deviation of its residual against a small Gaussian."""
     d = pixels(spark, sf_dir).select("y", "x", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col("v")[b].alias("v")) for b in (0, 1)])).alias("s")).select("y", "x", "s.*")
     r = stencil(d, lambda a: {"r": a["v"] - P.gaussian(a["v"], 0.8)}, ["v"], ["r"], P.reach(0.8), keys=["band"], tile=16)
-    m = r.join(r.groupBy("band").agg(F.percentile("r", 0.5).alias("m")), "band")
-    return m.groupBy("band").agg(r6(F.greatest(M.mad(F.col("r") - F.col("m")), F.lit(1e-6)), "noise"))
+    mid = quantiles(r, ["band"], {"m": F.col("r")}, [0.5]).select("band", F.col("m")[0].alias("m"))
+    mad = quantiles(r.join(mid, "band"), ["band"], {"d": F.abs(F.col("r") - F.col("m"))}, [0.5])
+    return mad.select("band", r6(F.greatest(1.4826 * F.col("d")[0], F.lit(1e-6)), "noise"))
 
 
 @query(
@@ -76,7 +78,7 @@ def overlap_blend(spark, sf_dir):
     """Weighted blend of two sensors over their overlap, with an uncertainty from weights and disagreement."""
     px = pixels(spark, sf_dir).select("vec_id", F.slice("v", 1, 24).alias("n"), F.slice("v", 41, 24).alias("s"))
     ws = [0.5 * (1 - np.cos(np.pi * k / 23.0)) for k in range(24)]
-    d = px.agg(F.array(*[F.percentile(F.abs(F.col("n")[k] - F.col("s")[k]), 0.5) for k in range(24)]).alias("d"))
+    d = quantiles(px, [], {f"d{k}": F.abs(F.col("n")[k] - F.col("s")[k]) for k in range(24)}, [0.5]).select(F.array(*[F.col(f"d{k}")[0] for k in range(24)]).alias("d"))
     o = F.array_sort("d")
     u = d.select(F.transform("d", lambda x: S.clip(0.65 + 0.35 * x / F.greatest((o[11] + o[12]) / 2, F.lit(1e-6)), 0, 10)).alias("u"))
     b = px.select("vec_id", F.zip_with(F.zip_with("n", V.lit_vector([1 - w for w in ws]), lambda x, w: x * w), F.zip_with("s", V.lit_vector(ws), lambda x, w: x * w), lambda x, y: x + y).alias("b"))

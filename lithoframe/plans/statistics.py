@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lithoframe.functions import scalars as S
 from lithoframe.functions import vectors as V
 from lithoframe.operators import moments as M
+from lithoframe.operators.quantiles import quantiles
 from lithoframe.session import checkpointed
 from lithoframe.plans.base import AXIS, BANDS, LONG, PX, REF, mean_spectrum, pixels, q6, query, r6, table
 
@@ -33,8 +34,7 @@ def pixel_statistics(spark, sf_dir):
 def band_correlation_mean(spark, sf_dir):
     """Mean over bands of the correlation with the reference spectrum; bands without spread don't count."""
     d = _with_reference(spark, sf_dir)
-    per = d.agg(*[F.struct(*[c.alias(k) for k, c in M.pair_moments(F.col("v")[b], F.col("reference")[b]).items()]).alias(f"m{b}") for b in range(BANDS)])
-    rows = per.select(F.explode(F.array(*[F.col(f"m{b}") for b in range(BANDS)])).alias("m")).select("m.*")
+    rows = M.band_moments(d, "v", "reference", BANDS)
     ok = rows.where("n >= 16 and sqrt(vx) > 1e-9 and sqrt(vy) > 1e-9")
     return ok.agg(F.count(F.lit(1)).alias("bands"), r6(F.avg(F.col("cxy") / (F.sqrt("vx") * F.sqrt("vy"))), "mean_correlation"))
 
@@ -83,22 +83,23 @@ def log_relation(spark, sf_dir):
 def irls_affine(df: DataFrame, by: list[str], x: str, y: str, gain_limits=(0.25, 4.0), offset_limits=(-1.0, 1.0), passes: int = 4) -> DataFrame:
     """Robust gain and offset of y on x for each group: a quartile fit, then reweighted passes with weights 1 / (1 + (r / 2.5 s)^2).
 
-    Each pass is two group aggregates (median of absolute residuals, then five weighted sums) joined back by group, so
-    no group is gathered; groups with fewer than 64 rows keep gain 1 and offset 0.
+    Rows and model are cut once, so each pass reads the rows that count and one row a group. A pass is two exact medians and
+    five weighted sums; no task holds a group. Groups with fewer than 64 rows keep gain 1 and offset 0.
     """
     g = by
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*g, F.col(x).alias("x"), F.col(y).alias("y"))
-    p = [0.1, 0.25, 0.5, 0.75, 0.9]
-    q = rows.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.percentile("x", p).alias("xq"), F.percentile("y", p).alias("yq"))
+    q = quantiles(rows, g, {"xq": F.col("x"), "yq": F.col("y")}, [0.1, 0.25, 0.5, 0.75, 0.9]).withColumnRenamed("n_rows", "n")
     dx = F.col("xq")[3] - F.col("xq")[1]
     gain = S.clip(F.when(F.abs(dx) > 1e-9, (F.col("yq")[3] - F.col("yq")[1]) / F.when(F.abs(dx) > 1e-9, dx)).otherwise(1.0), *gain_limits)
-    model = q.withColumn("gain", gain).withColumn("offset", F.col("yq")[2] - F.col("gain") * F.col("xq")[2])
-    fit = rows.join(model.select(*g, "xq", "yq", "n"), g).where((F.col("n") >= 64) & F.col("x").between(F.col("xq")[0], F.col("xq")[4]) & F.col("y").between(F.col("yq")[0], F.col("yq")[4])).select(*g, "x", "y")
-    now = checkpointed(model.select(*g, "n", "gain", "offset"))
+    model = checkpointed(q.withColumn("gain", gain).withColumn("offset", F.col("yq")[2] - F.col("gain") * F.col("xq")[2]))
+    inside = (F.col("n") >= 64) & F.col("x").between(F.col("xq")[0], F.col("xq")[4]) & F.col("y").between(F.col("yq")[0], F.col("yq")[4])
+    fit = checkpointed(rows.join(model.select(*g, "xq", "yq", "n"), g).where(inside).select(*g, "x", "y"))
+    now = model.select(*g, "n", "gain", "offset")
     for _ in range(passes):
         r = fit.join(now.select(*g, "gain", "offset"), g).withColumn("r", F.col("y") - (F.col("gain") * F.col("x") + F.col("offset")))
-        mid = r.groupBy(*g).agg(F.percentile("r", 0.5).alias("mid"))
-        scale = r.join(mid, g).groupBy(*g).agg((1.4826 * F.percentile(F.abs(F.col("r") - F.col("mid")), 0.5) + 1e-6).alias("scale"))
+        mid = quantiles(r, g, {"mid": F.col("r")}, [0.5]).select(*g, F.col("mid")[0].alias("mid"))
+        away = r.join(mid, g)
+        scale = quantiles(away, g, {"d": F.abs(F.col("r") - F.col("mid"))}, [0.5]).select(*g, (1.4826 * F.col("d")[0] + 1e-6).alias("scale"))
         w = r.join(scale, g).withColumn("w", 1 / (1 + (F.col("r") / (2.5 * F.col("scale"))) ** 2))
         s = w.groupBy(*g).agg(F.sum("w").alias("sw"), F.sum(F.expr("w * x")).alias("sx"), F.sum(F.expr("w * y")).alias("sy"), F.sum(F.expr("w * x * x")).alias("sxx"), F.sum(F.expr("w * x * y")).alias("sxy"))
         det = F.expr("sw * sxx - sx * sx")
@@ -130,7 +131,7 @@ def irls_affine_fit(spark, sf_dir):
 def quantile_affine(spark, sf_dir):
     """Gain and offset from interquartile ranges and medians."""
     p = [0.25, 0.5, 0.75]
-    a = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.percentile("l_extendedprice", p).alias("e"), F.percentile("l_tax", p).alias("t"), F.percentile("l_discount", p).alias("d"))
+    a = quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], {"e": F.col("l_extendedprice"), "t": F.col("l_tax"), "d": F.col("l_discount")}, p)
     g = (F.col("t")[2] - F.col("t")[0]) / (F.col("d")[2] - F.col("d")[0])
     return a.select("l_returnflag", "l_linestatus", r6(F.col("e")[2] - F.col("e")[0], "iqr"), r6(g, "quantile_gain"), r6(F.col("t")[1] - g * F.col("d")[1], "quantile_offset"))
 
@@ -187,7 +188,8 @@ def best_feature_correlation(spark, sf_dir):
 @query(f"SELECT event_type, count(*) AS n, {q6('quantile_cont(value, 0.025)', 'lo')}, {q6('quantile_cont(value, 0.975)', 'hi')}, quantile_cont(value, 0.025) > 0 OR quantile_cont(value, 0.975) < 0 AS excludes_zero FROM events GROUP BY event_type")
 def percentile_interval(spark, sf_dir):
     """A central 95 % interval (from four values on), and whether it leaves out zero."""
-    a = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("value").alias("n"), F.percentile("value", [0.025, 0.975]).alias("q"))
+    known = table(spark, sf_dir, "events").where("value is not null")
+    a = quantiles(known, ["event_type"], {"q": F.col("value")}, [0.025, 0.975]).withColumnRenamed("n_rows", "n")
     lo, hi = (F.when(F.col("n") >= 4, F.col("q")[k]) for k in (0, 1))
     return a.select("event_type", "n", r6(lo, "lo"), r6(hi, "hi"), ((lo > 0) | (hi < 0)).alias("excludes_zero"))
 
@@ -197,7 +199,9 @@ def error_summary(spark, sf_dir):
     """Mean, median, 95th percentile and maximum of absolute errors."""
     ev = table(spark, sf_dir, "events")
     d = ev.join(ev.groupBy("event_type").agg(F.avg("value").alias("m")), "event_type").withColumn("e", F.abs(F.col("value") - F.col("m")))
-    return d.groupBy("event_type").agg(*[r6(c, k) for k, c in M.error_summary(F.col("e")).items()])
+    sums = d.groupBy("event_type").agg(F.avg("e").alias("mean"), F.max("e").alias("max"))
+    q = quantiles(d, ["event_type"], {"q": F.col("e")}, [0.5, 0.95])
+    return sums.join(q, "event_type").select(r6("mean", "mean"), r6(F.col("q")[0], "median"), r6(F.col("q")[1], "p95"), r6("max", "max"), "event_type")
 
 
 @query(
@@ -262,7 +266,7 @@ def weighted_normal_equations(spark, sf_dir):
 def percentile_stretch(spark, sf_dir):
     """Percentile stretch to [0, 1], its 8-bit form, and the radiometric scale."""
     ev = table(spark, sf_dir, "events")
-    q = ev.agg(F.percentile("value", [0.02, 0.98, 0.995]).alias("q"))
+    q = quantiles(ev, [], {"q": F.col("value")}, [0.02, 0.98, 0.995])
     d = ev.join(F.broadcast(q), F.lit(True))  # q is one row
     s = S.stretch(F.col("value"), F.col("q")[0], F.col("q")[1])
     return d.select("event_id", r6(s, "stretched"), S.to_uint8(s).alias("grey"), r6(F.col("value") / F.when(F.col("q")[2] > 3, F.col("q")[2]).otherwise(1.0), "radiometry"))
@@ -273,7 +277,7 @@ def material_mask(spark, sf_dir):
     """Pixels whose median intensity lies within the 5th and 98.5th percentile."""
     s = F.array_sort("v")
     d = pixels(spark, sf_dir).select("vec_id", ((s[BANDS // 2 - 1] + s[BANDS // 2]) / 2).alias("m"))
-    q = d.agg(F.percentile("m", [0.05, 0.985]).alias("q"))
+    q = quantiles(d, [], {"q": F.col("m")}, [0.05, 0.985])
     return d.join(F.broadcast(q), F.lit(True)).select("vec_id", ((F.col("m") > F.col("q")[0]) & (F.col("m") < F.col("q")[1])).alias("material"))
 
 
@@ -281,8 +285,9 @@ def material_mask(spark, sf_dir):
 def robust_z_filter(spark, sf_dir):
     """Robust z scores from medians and median absolute deviations, and who passes."""
     c = table(spark, sf_dir, "customer")
-    m = c.join(c.groupBy("c_mktsegment").agg(F.percentile("c_acctbal", 0.5).alias("mid")), "c_mktsegment").withColumn("d", F.abs(F.col("c_acctbal") - F.col("mid")))
-    s = m.groupBy("c_mktsegment").agg((1.4826 * F.percentile("d", 0.5) + 0.35).alias("s"))
+    mid = quantiles(c, ["c_mktsegment"], {"q": F.col("c_acctbal")}, [0.5]).select("c_mktsegment", F.col("q")[0].alias("mid"))
+    m = c.join(mid, "c_mktsegment").withColumn("d", F.abs(F.col("c_acctbal") - F.col("mid")))
+    s = quantiles(m, ["c_mktsegment"], {"q": F.col("d")}, [0.5]).select("c_mktsegment", (1.4826 * F.col("q")[0] + 0.35).alias("s"))
     z = F.col("d") / F.col("s")
     return m.join(s, "c_mktsegment").select("c_custkey", r6(z, "z"), (z <= 1.5).alias("kept"))
 
