@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lithoframe.operators import moments as M
 from lithoframe.operators import planes as P
-from lithoframe.operators.detail import luma
+from lithoframe.operators.detail import luma, stretch
 from lithoframe.operators.quantiles import quantiles
 from lithoframe.operators.registration import sample
 from lithoframe.operators.tiles import stencil
@@ -20,7 +20,7 @@ SCALES = (1.2, 2.4, 4.8)
 #: Default bounds of the published detail screening.
 LIMITS = {
     "dark_percentile": 20.0, "coherence_min": 0.60, "detail_percentile": 30.0, "flat_percentile": 30.0, "rho_min": 0.80, "rho_dark_min": 0.70, "beta_min": 0.80, "beta_max": 1.20, "energy_min": 0.80, "energy_max": 1.25,
-    "residual_max": 0.35, "flat_energy_max": 1.10, "orientation_min": 0.90, "edge_f1_min": 0.85, "halo_p95_max": 0.05,
+    "residual_max": 0.35, "beta_dark_min": 0.80, "beta_dark_max": 1.20, "energy_dark_min": 0.80, "energy_dark_max": 1.25, "residual_dark_max": 0.35, "flat_energy_max": 1.10, "orientation_min": 0.90, "edge_f1_min": 0.85, "halo_p95_max": 0.05,
 }
 
 
@@ -34,7 +34,7 @@ def limits(**overrides: float) -> dict[str, float]:
             raise ValueError(f"{k} must lie between 0 and 100")
         if k in ("coherence_min", "rho_min", "rho_dark_min", "orientation_min", "edge_f1_min") and not 0 <= v <= 1:
             raise ValueError(f"{k} must lie within 0 and 1")
-    for k in ("beta", "energy"):
+    for k in ("beta", "energy", "beta_dark", "energy_dark"):
         if out[f"{k}_min"] > out[f"{k}_max"]:
             raise ValueError(f"{k} range is crossed")
     return out
@@ -84,19 +84,52 @@ def detail_report(d: DataFrame, scales=SCALES) -> DataFrame:
     return d.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 
+def structure_gradient(a: np.ndarray, eps: float = 0.012) -> tuple[np.ndarray, np.ndarray]:
+    """Scharr components of the logarithm of a plane stretched between its 2nd and 98th percentile, smoothed by 0.7 pixels."""
+    return P.gradient(P.gaussian(np.log(stretch(a) + eps), 0.7), "scharr")
+
+
 def gradient_structure(ref: np.ndarray, out: np.ndarray, mask: np.ndarray) -> dict:
-    """Top-decile edges within one pixel: precision, recall, F1, and mean |cos| of their orientations."""
-    (ax, ay), (bx, by) = P.gradient(P.gaussian(ref, 0.8), "scharr"), P.gradient(P.gaussian(out, 0.8), "scharr")
+    """Top-decile edges within one pixel: precision, recall, F1, and mean |cos| of their orientations. Pixels that aren't finite don't count."""
+    (ax, ay), (bx, by) = structure_gradient(ref), structure_gradient(out)
     a, b = np.hypot(ax, ay), np.hypot(bx, by)
+    mask = mask & np.isfinite(a) & np.isfinite(b)
+    none = {"status": "insufficient_support", "pixels": int(mask.sum())}
     if mask.sum() < 128:
-        return {"status": "insufficient_support"}
-    ea, eb = mask & (a >= np.percentile(a[mask], 90)), mask & (b >= np.percentile(b[mask], 90))
+        return none
+    ea, eb = mask & (a >= max(float(np.percentile(a[mask], 90)), 1e-8)), mask & (b >= max(float(np.percentile(b[mask], 90)), 1e-8))
     if min(ea.sum(), eb.sum()) < 16:
-        return {"status": "insufficient_support"}
+        return none
     p, r = (eb & (P.dilate(ea.astype(float)) > 0)).sum() / eb.sum(), (ea & (P.dilate(eb.astype(float)) > 0)).sum() / ea.sum()
     o = ea & (b > max(float(np.percentile(b[mask], 50)), 1e-8))
     cos = np.abs(ax * bx + ay * by)[o] / np.maximum((a * b)[o], 1e-8)
-    return {"status": "evaluated", "precision": float(p), "recall": float(r), "f1": float(2 * p * r / max(p + r, 1e-12)), "orientation": float(np.clip(cos, 0, 1).mean()) if o.any() else float("nan")}
+    return {"status": "evaluated", "pixels": int(mask.sum()), "precision": float(p), "recall": float(r), "f1": float(2 * p * r / max(p + r, 1e-12)), "orientation": float(np.clip(cos, 0, 1).mean()) if o.any() else float("nan")}
+
+
+#: metric, its place in the report, and its bounds' names; only the halo may go unevaluated.
+CHECKS = (
+    ("rho_reliable", ("reliable", "rho"), "rho_min", None), ("rho_dark_reliable", ("dark_reliable", "rho"), "rho_dark_min", None),
+    ("beta_reliable", ("reliable", "beta"), "beta_min", "beta_max"), ("energy_reliable", ("reliable", "energy_ratio"), "energy_min", "energy_max"),
+    ("residual_reliable", ("reliable", "residual_ratio"), None, "residual_max"), ("beta_dark_reliable", ("dark_reliable", "beta"), "beta_dark_min", "beta_dark_max"),
+    ("energy_dark_reliable", ("dark_reliable", "energy_ratio"), "energy_dark_min", "energy_dark_max"), ("residual_dark_reliable", ("dark_reliable", "residual_ratio"), None, "residual_dark_max"),
+    ("energy_flat", ("flat", "energy_ratio"), None, "flat_energy_max"), ("orientation", ("structure", "orientation"), "orientation_min", None),
+    ("edge_f1", ("structure", "f1"), "edge_f1_min", None), ("halo_p95", ("halo", "p95"), None, "halo_p95_max"),
+)
+
+
+def screened(statistics: dict[str, dict], lim: dict[str, float]) -> dict:
+    """The twelve checks of one band at one scale, and their status. ``statistics``: by mask, and ``structure`` and ``halo``."""
+    checks = []
+    for name, (part, key), low, high in CHECKS:
+        v = statistics.get(part, {}).get(key)
+        v = float(v) if v is not None and np.isfinite(v) else None
+        lo, hi = lim.get(low), lim.get(high)
+        within = None if v is None else (lo is None or v >= lo) and (hi is None or v <= hi)
+        checks.append({"metric": name, "value": v, "minimum": lo, "maximum": hi, "evaluated": v is not None, "within_bound": within})
+    need = [c for c in checks if c["metric"] != "halo_p95"]
+    failed = sum(c["within_bound"] is False for c in checks)
+    status = "insufficient_support" if any(not c["evaluated"] for c in need) else "within_conservative_screening_bounds" if failed == 0 else "outside_conservative_screening_bounds"
+    return {"status": status, "failed": failed, "evaluated": sum(c["evaluated"] for c in checks), "checks": checks}
 
 
 def edge_width(profile: np.ndarray, offsets: np.ndarray) -> float:

@@ -183,10 +183,16 @@ def write_raster(df: DataFrame, path: str, shape: tuple[int, int, int], values:
         n = 0
         with open(stem + ".dat", "r+b") as f:
             for b in it:
-                for y, x, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    f.seek((y * samples + x) * bands * item)
-                    f.write(np.array([np.nan if u is None else u for u in v], float).astype(kind).tobytes())
-                    n += 1
+                for part in (b.slice(at, 4096) for at in range(0, len(b), 4096)):
+                    y, x = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+                    v = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).astype(kind).reshape(len(part), bands)
+                    place = y * samples + x
+                    # pixels that follow each other are one write
+                    edge = [0, *(np.flatnonzero(np.diff(place) != 1) + 1).tolist(), len(place)]
+                    for i, j in zip(edge[:-1], edge[1:]):
+                        f.seek(int(place[i]) * bands * item)
+                        f.write(v[i:j].tobytes())
+                    n += len(part)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     # Sorted rows make runs of neighbouring writes.
