@@ -92,3 +92,13 @@ def cosine_taper(w: Column, lo: float, hi: float) -> Column:
 
 def water_absorption(w: Column) -> Column:
     return w.between(1340.0, 1450.0) | w.between(1800.0, 1960.0)
+
+
+def number_text(x: Column, digits: int) -> Column:
+    """A number with so many places; null stays null, what isn't finite is a dash."""
+    return F.when(x.isNotNull(), F.when(finite(x).isNull(), F.lit("-")).otherwise(F.format_string(f"%.{digits}f", x)))
+
+
+def percent_text(x: Column, digits: int = 1) -> Column:
+    """A percentage with its sign."""
+    return F.when(x.isNotNull(), F.when(finite(x).isNull(), F.lit("-")).otherwise(F.format_string(f"%+.{digits}f %%", x)))

@@ -111,6 +111,12 @@ def cone(candidate: Column, reference: Column, angle_deg: float) -> Column:
     return let(rr, lambda q: let(F.struct(q.alias("rr"), (dot(candidate, reference) / F.when(q > 0, q).otherwise(1.0)).alias("al")), around))
 
 
+def top_components(v: Column, k: int) -> Column:
+    """The k largest entries as (value, component), the lesser component first on ties."""
+    pairs = F.transform(v, lambda x, n: F.struct((-x).alias("value"), n.alias("component")))
+    return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda p: F.struct((-p["value"]).alias("value"), p["component"].alias("component")))
+
+
 def interpolation_stencil(source: np.ndarray, target: np.ndarray) -> list[tuple[int, float] | None]:
     """For each target, the knot at its left and the weight of the next one; None outside the source axis."""
     source, out = np.asarray(source, float), []

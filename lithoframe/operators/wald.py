@@ -136,10 +136,15 @@ def evaluate(truth: np.ndarray, got: np.ndarray, low: np.ndarray, s: D.Sensor, p
     }
 
 
+def centre_crop(shape: tuple[int, int], ratio: int) -> tuple[int, int, int, int]:
+    """(y, x, height, width) of the centred part of a plane whose sides are multiples of a ratio."""
+    h, w = (n // ratio * ratio for n in shape[:2])
+    return (shape[0] - h) // 2, (shape[1] - w) // 2, h, w
+
+
 def run_scene(truth: np.ndarray, rgb: np.ndarray, p: Protocol) -> list[tuple[str, str, float]]:
     """(candidate, metric, value) of one scene, cropped to a multiple of the ratio around its centre."""
-    h, w = (n // p.ratio * p.ratio for n in truth.shape[:2])
-    y, x = (truth.shape[0] - h) // 2, (truth.shape[1] - w) // 2
+    y, x, h, w = centre_crop(truth.shape, p.ratio)
     truth, rgb = truth[y : y + h, x : x + w], rgb[y : y + h, x : x + w]
     s = D.Sensor((h, w), (h // p.ratio, w // p.ratio), p.sigma, p.sigma)
     low = s.down(truth)

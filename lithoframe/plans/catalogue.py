@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lithoframe.plans import base, grid, ident, reports, scene, spectra, statistics  # noqa: F401
+from lithoframe.plans import base, checked, grid, ident, reports, scene, spectra, statistics  # noqa: F401
 
 FLAGSHIP = "pixel_statistics"
 

@@ -205,13 +205,19 @@ def write_raster(df: DataFrame, path: str, shape: tuple[int, int, int], values:
     return read_header(path)
 
 
-def discover(folder: str, sensors: tuple[str, ...] = ("RGB", "NIR", "SWIR")) -> dict[str, str]:
-    """The header of each sensor: NAME-*.hdr whatever its case, the last in order of name; raises where one is missing."""
+def pick_headers(names: list[str], sensors: tuple[str, ...] = ("RGB", "NIR", "SWIR")) -> dict[str, str]:
+    """Of file names the header of each sensor: NAME-*.hdr whatever its case, the last in order of name."""
     out = {}
-    for n in sorted(os.listdir(folder)):
+    for n in sorted(names):
         for s in sensors:
             if n.upper().startswith(s + "-") and n.lower().endswith(".hdr"):
-                out[s] = os.path.join(folder, n)
+                out[s] = n
+    return out
+
+
+def discover(folder: str, sensors: tuple[str, ...] = ("RGB", "NIR", "SWIR")) -> dict[str, str]:
+    """The header of each sensor in a folder; raises where one is missing."""
+    out = {s: os.path.join(folder, n) for s, n in pick_headers(os.listdir(folder), sensors).items()}
     if missing := [s for s in sensors if s not in out]:
         raise FileNotFoundError(f"{folder} has no header for {', '.join(missing)}")
     return out
