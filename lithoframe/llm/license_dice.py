@@ -27,6 +27,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithoframe.llm.components import written
 from lithoframe.llm.textarr import BROADCAST_BYTES
 
 THRESHOLD = 0.8
@@ -200,6 +201,8 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     paras = F.when(text.rlike(r"\n[ \t\r]*\n"), F.filter(paras, lambda u: F.contains(F.trim(u["x"]), F.lit("\n")))).otherwise(F.array().cast("array<struct<unit:string,place:int,x:string>>"))
     whole = F.when(several, F.array(F.struct(F.lit("document").alias("unit"), F.lit(0).alias("place"), text.alias("x")))).otherwise(F.array().cast("array<struct<unit:string,place:int,x:string>>"))
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull() & may(F.lower("t"))).withColumn("h", F.xxhash64("t"))
+    # Few texts have a pivot; they are written, so the table is scanned once for units and windows together.
+    rows = written(rows, "texts") if windows else rows
     units = rows.select("i", "h", F.explode(F.concat(lines, paras, whole)).alias("u")).select("i", "h", "u.*").where(may(F.lower("x")))
     cut = units.select("i", "h", "unit", "place", F.split(normal(F.col("x")), " ").alias("w")).where(F.size("w") >= 2)
     sized = cut.select("i", "h", "unit", "place", F.array_distinct(_bigrams("w")).alias("own")).where(F.size("own").between(least, most))
@@ -212,6 +215,7 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     best = scored.where(F.col("dice") >= threshold).groupBy("i", "h", "unit", "place", "license").agg(F.max("dice").alias("dice"))
     if not windows or not known:
         return best.select(F.col("i").alias(id_col), "unit", "place", "license", "dice")
+    best = written(best, "units")
     places = anchors(templates, threshold)
     reach = max(n for *_, n in places)
     fixed = shared(places, "template int, pivot string, at int, n int")
