@@ -34,12 +34,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.textarr import NONE, HashTable, SpanHasher, pieces_of, publish, span_hashes
+from lithoframe.llm.textarr import NONE, HashTable, SpanHasher, mix, pieces_of, publish, span_hashes
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNK = -2
+#: In the lexicon: an ending of a piece that is no piece itself.
+INNER = 1 << 30
+#: The table of pairs holds two to this power.
+PAIR_BITS = 18
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, object]]:
@@ -147,7 +151,7 @@ class Transducer:
     def _build(self, pieces: list[tuple[str, float, int]]) -> None:
         self.unk_id = next((k for k, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
         self.byte_id = np.full(256, self.unk_id, np.int32)
-        self.spell = []
+        self.spell: list[bytes] = []
         for k, (p, _, kind) in enumerate(pieces):
             if kind == BYTE:
                 self.byte_id[int(p[3:5], 16)] = k
@@ -155,6 +159,9 @@ class Transducer:
             else:
                 self.spell.append(b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode())
         self.is_byte = np.array([p[2] == BYTE for p in pieces])
+        self.spell_size = np.array([len(x) for x in self.spell], np.int64)
+        self.spell_start = np.cumsum(self.spell_size) - self.spell_size
+        self.spell_bytes = np.frombuffer(b"".join(self.spell), np.uint8)
         self.has_bytes = bool(self.is_byte.any())
         self.user = {p: k for k, (p, _, kind) in enumerate(pieces) if kind == USER and p}
         self.user_pattern = "|".join(map(re.escape, sorted(self.user, key=len, reverse=True)))
@@ -176,7 +183,10 @@ class Transducer:
         end = np.cumsum(self.length, dtype=np.int64)
         h = span_hashes(flat, end - self.length, end)
         assert len(np.unique(h)) == len(h), "two pieces share a hash"
-        self.lexicon = HashTable(h, np.arange(len(h)), mixed=True)
+        # Endings of pieces: only where the last l code points are one can a piece of l or more end. Value: the piece, or INNER.
+        start = np.concatenate([np.arange(e - n, e) for e, n in zip(end.tolist(), self.length.tolist())]) if len(h) else np.zeros(0, np.int64)
+        inner = np.setdiff1d(span_hashes(flat, start, np.repeat(end, self.length)), h)
+        self.lexicon = HashTable(np.concatenate([h, inner]), np.concatenate([np.arange(len(h)), np.full(len(inner), INNER)]), mixed=True)
         self.apart = all(re.fullmatch(f"{SPACE}*[^{SPACE}]*", p) for p in self.text)
         if self.kind == BPE:
             n = len(self.text)
@@ -187,6 +197,11 @@ class Transducer:
                     self.left[k], self.right[k] = self.by_text[a], self.by_text[b]
             made = self.left != np.arange(n)
             self.joined = HashTable((self.left[made].astype(np.uint64) << np.uint64(32)) | self.right[made].astype(np.uint64), np.flatnonzero(made))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty tables of what is found out on the way; a copy of the model starts with them."""
+        self.pair_key, self.pair_answer = np.full(1 << PAIR_BITS, np.iinfo(np.uint64).max, np.uint64), np.zeros(1 << PAIR_BITS, bool)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -196,7 +211,11 @@ class Transducer:
         return sum(len(p) * 4 + 64 for p in self.text) * 2 + self.lexicon.keys.nbytes * 3
 
     def __getstate__(self):
-        return self.__dict__ | {"pairs": {}, "words": {}, "older": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("pairs", "pair_key", "pair_answer", "words", "older")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
 
     def merge(self, word: str, last: bool = False) -> list[str]:
         """Pieces of a short string by merging the best pair again and again; ``last``: the two sides of the last merge."""
@@ -234,7 +253,18 @@ class Transducer:
         return known
 
     def stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The same for arrays of pairs, by undoing merges from the latest on: a pair stays apart unless, at some step, the two
+        """The same for arrays of pairs; answers are kept in a table of fixed size, where later pairs replace earlier ones."""
+        pair = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+        slot = (mix(pair) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out = self.pair_answer[slot]
+        miss = np.flatnonzero(self.pair_key[slot] != pair)
+        if len(miss):
+            out[miss] = self._undone(a[miss], b[miss])
+            self.pair_key[slot[miss]], self.pair_answer[slot[miss]] = pair[miss], out[miss]
+        return out
+
+    def _undone(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pairs stay apart, by undoing merges from the latest on: a pair stays apart unless, at some step, the two
         pieces at the seam have a joint piece that comes before the merge being undone."""
         a, b = a.astype(np.int64), b.astype(np.int64)
         out, live = np.ones(len(a), bool), np.arange(len(a))
@@ -299,8 +329,11 @@ class Transducer:
         for span in range(1, min(self.longest, int(size[0])) + 1):
             ends, inside = ends[inside >= span], inside[inside >= span]
             arc = np.full(len(flat) + 1, NONE, np.int32)
-            arc[ends] = self.lexicon.get(hashes(ends - span, ends))
+            got = self.lexicon.get(hashes(ends - span, ends))
+            piece = (got != NONE) & (got != INNER)
+            arc[ends[piece]] = got[piece]
             arcs.append(arc)
+            ends, inside = ends[got != NONE], inside[got != NONE]
         back = np.full(len(flat) + 1, NONE, np.int64)  # at first[w] + i stands the arc into position i; position 0 is shared with the word before, so it is not read
         cost = np.zeros(len(flat) + 1)
         for i in range(1, int(size[0]) + 1):
@@ -415,8 +448,19 @@ class Transducer:
         return [x[np.concatenate([[True], (x[1:] != self.unk_id) | (x[:-1] != self.unk_id)])[: len(x)]] for x in out]
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.spell.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, ids: list[np.ndarray]) -> list[str]:
+        """The text of each id list: the bytes of all of them are gathered at once."""
+        flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int64)
+        n, cut = self.spell_size[flat], np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        ends = np.concatenate([[0], np.cumsum(n)])
+        raw = self.spell_bytes[np.repeat(self.spell_start[flat] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        out, at = [], ends[cut].tolist()
+        for a, b in zip(at[:-1], at[1:]):
+            text = raw[a:b].decode("utf-8", "replace")
+            out.append(text[1:] if self.prefix and text.startswith(" ") else text)
+        return out
 
 
 def load(spark, path: str):
@@ -436,8 +480,8 @@ def encode(text: Column, model) -> Column:
             ids, n_bytes, sha, same = [], [], [], []
             for part in pieces_of(arr, 128):
                 texts = part.to_pylist()
-                for x, got in zip(texts, t.encode_all(texts)):
-                    back = t.decode(got)
+                found = t.encode_all(texts)
+                for x, got, back in zip(texts, found, t.decode_all(found)):
                     ids.append(got)
                     n_bytes.append(int(t.is_byte[got].sum()))
                     sha.append(hashlib.sha256(back.encode("utf-8", "replace")).hexdigest())
