@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lithoframe.operators import moments as M
 from lithoframe.operators import planes as P
-from lithoframe.operators.detail import luma, stretch
+from lithoframe.operators.detail import correlation, luma, stretch
 from lithoframe.operators.quantiles import quantiles
 from lithoframe.operators.registration import sample
 from lithoframe.operators.tiles import stencil
@@ -106,6 +106,19 @@ def gradient_structure(ref: np.ndarray, out: np.ndarray, mask: np.ndarray) -> di
     return {"status": "evaluated", "pixels": int(mask.sum()), "precision": float(p), "recall": float(r), "f1": float(2 * p * r / max(p + r, 1e-12)), "orientation": float(np.clip(cos, 0, 1).mean()) if o.any() else float("nan")}
 
 
+def high_frequency_energy(a: np.ndarray, sigma: float = 1.4) -> float:
+    """The 95th percentile of what a Gaussian takes from a plane stretched between its 2nd and 98th percentile."""
+    n = stretch(a)
+    high = np.abs(n - P.gaussian(n, sigma))
+    return float(np.percentile(high[np.isfinite(high)], 95))
+
+
+def edge_correlation(a: np.ndarray, b: np.ndarray, mask: np.ndarray | None = None) -> float:
+    """Correlation of the edge strengths of two planes; NaN with fewer than 32 pixels or without any edges."""
+    x, y = (np.hypot(*structure_gradient(v)) for v in (a, b))
+    return correlation(np.where(mask, x, np.nan) if mask is not None else x, y)
+
+
 #: metric, its place in the report, and its bounds' names; only the halo may go unevaluated.
 CHECKS = (
     ("rho_reliable", ("reliable", "rho"), "rho_min", None), ("rho_dark_reliable", ("dark_reliable", "rho"), "rho_dark_min", None),

@@ -326,3 +326,17 @@ def twelve_checks(spark, sf_dir):
 
     d = m.select("l_suppkey", rowwise("string", f, F.col("l_suppkey"), F.col("a"), F.col("b")).alias("j"))
     return d.select("l_suppkey", F.get_json_object("j", "$[0]").cast("int").alias("failed"), F.get_json_object("j", "$[1]").cast("int").alias("evaluated"), F.get_json_object("j", "$[2]").alias("status"))
+
+
+@query(f"WITH {_PLANE}, q AS (SELECT quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM p), n AS (SELECT y, x, least(greatest((v - lo) / (hi - lo), 0), 1) AS v FROM p, q), {sql_blur('n', 'b', 1.4)} SELECT {q6('quantile_cont(abs(n.v - b.v), 0.95)', 'energy')} FROM n JOIN b USING (y, x)")
+def high_frequency_energy(spark, sf_dir):
+    """The 95th percentile of what a Gaussian takes from a stretched plane."""
+    d = plane(spark, sf_dir)
+    q = quantiles(d, [], {"q": F.col("v")}, [0.02, 0.98]).first().q
+
+    def k(a):
+        n = np.clip((a["v"] - q[0]) / max(q[1] - q[0], 1e-6), 0, 1)
+        return {"h": np.abs(n - P.gaussian(n, 1.4))}
+
+    h = stencil(d, k, ["v"], ["h"], P.reach(1.4), tile=16)
+    return quantiles(h, [], {"q": F.col("h")}, [0.95]).select(r6(F.col("q")[0], "energy"))

@@ -11,6 +11,7 @@ them the folder must be mounted on all executors.
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import uuid
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
@@ -427,7 +428,7 @@ def run(spark: SparkSession, config: Config) -> dict:
             store.write(f"previews/{n}.png", data)
     store.write_json("registration.json", registration)
     store.write_json("quality.json", quality)
-    manifest = {"run_id": run_id, "scale": scale.tolist(), "high": list(high), "low": list(shape), "region": roi, "bands": len(axis), "rank": int(lc.shape[-1]), "inputs": {s: {"shape": list(h.shape), "dtype": str(h.dtype), "interleave": h.interleave} for s, h in coarse.heads.items()}, "config": asdict(config), "status": quality["status"]}
+    manifest = {"run_id": run_id, "scale": scale.tolist(), "high": list(high), "low": list(shape), "region": roi, "bands": len(axis), "rank": int(lc.shape[-1]), "inputs": {s: {"shape": list(h.shape), "dtype": str(h.dtype), "interleave": h.interleave} for s, h in coarse.heads.items()}, "config": asdict(config), "status": quality["status"], "digests": dict(store.digests)}
     manifest |= contract(config, [n for n in planned(config) if n != "manifest.json"])
     store.write_json("manifest.json", manifest)
     return manifest
@@ -469,6 +470,7 @@ def validate(spark: SparkSession, folder: str) -> dict:
     errors = [f"missing {n}" for n in [*manifest.get("outputs", {}), *manifest.get("previews", {})] if not store.exists(n)]
     if errors:
         return {"valid": False, "errors": errors}
+    errors += [f"{n} doesn't match its digest" for n, d in manifest.get("digests", {}).items() if hashlib.sha256(store.read(n)).hexdigest() != d]
     errors += [e for r in R6.contract_errors(manifest_rows(spark, {folder: manifest})).collect() for e in r.errors]
     high, low, n_bands, model = tuple(manifest["high"]), tuple(manifest["low"]), manifest["bands"], None
     try:

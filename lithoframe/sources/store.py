@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import SparkSession
@@ -12,6 +13,8 @@ from lithoframe.sources.artifacts import json_safe
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        #: SHA-256 of what was written here
+        self.digests: dict[str, str] = {}
         # An instance of our own: files carry digests of their own, which say more of a changed file than side files do.
         at, conf = spark._jvm.org.apache.hadoop.fs.Path(self.root), spark._jsparkSession.sessionState().newHadoopConf()
         self._fs = spark._jvm.org.apache.hadoop.fs.FileSystem.newInstance(at.toUri(), conf)
@@ -33,6 +36,7 @@ class Store:
         fs.delete(p, True)
 
     def write(self, name: str, data: bytes) -> None:
+        self.digests[name] = hashlib.sha256(data).hexdigest()
         fs, p = self._at(name)
         out = fs.create(p, True)
         try:
