@@ -161,6 +161,37 @@ def status(metrics: dict[str, Column], kind: str = "bootstrap", ci_excludes_zero
     return F.when(strong, "identifiable").when(passed(1), "weakly_identifiable").otherwise("unidentifiable")
 
 
+def band_report(df: DataFrame, key: str, wanted: list, feature: str, target: str, h: int, w: int, rows: int, cols: int, gap: int, moves: list[tuple[int, int, int]] | None = None, kind: str = "bootstrap", **settings) -> DataFrame:
+    """One row for each wanted band, fail-closed: key, n, r2, rho, rmse, estimate, fraction, training_stability, held_out_stability, p, status, reason.
+
+    ``df`` has key, y, x, feature, target. A band without rows, without a scored block, or with statistics that aren't
+    finite is ``unidentifiable``, and its reason says so. With ``moves`` p is the share of shifted features that reach
+    the band's R2, of all bands in one pass; without, p is 0.
+    """
+    folds = blocked_cv(df, feature, target, h, w, rows, cols, gap, keys=[key], **settings)
+    met = pooled(folds, [key]).join(amplitude(folds, [key]), key)
+    seen = df.groupBy(key).agg(F.count(F.col(feature) * F.col(target)).alias("support"))
+    if moves:
+        m = F.broadcast(df.sparkSession.createDataFrame(moves, "shift int, dy int, dx int"))  # one row a shift
+        f = df.select(key, "y", "x", F.col(feature).alias("_f")).join(m, F.lit(True)).select(key, "shift", F.pmod(F.col("y") + F.col("dy"), F.lit(h)).alias("y"), F.pmod(F.col("x") + F.col("dx"), F.lit(w)).alias("x"), "_f")
+        null = pooled(blocked_cv(f.join(df.select(key, "y", "x", F.col(target).alias("_t")), [key, "y", "x"]), "_f", "_t", h, w, rows, cols, gap, keys=[key, "shift"], **settings), [key, "shift"])
+        reach = null.join(met.select(key, F.col("r2").alias("_o")), key).groupBy(key).agg(((1 + F.count_if(F.col("r2") >= F.col("_o"))) / (1 + F.count(F.lit(1)))).alias("p"))
+        met = met.join(reach, key, "left")
+    else:
+        met = met.withColumn("p", F.lit(0.0))
+    bands = df.sparkSession.createDataFrame([(b,) for b in wanted], f"{key} {df.schema[key].dataType.simpleString()}")
+    names = ("r2", "rho", "rmse", "estimate", "fraction", "training_stability", "held_out_stability", "p")
+    j = bands.join(seen, key, "left").join(met, key, "left")
+    sound = F.lit(True)
+    for n in names:
+        sound = sound & F.coalesce(~F.isnan(n) & (F.abs(n) < float("inf")), F.lit(False))
+    metrics = {k: F.col(k) for k in ("r2", "rho", "fraction", "p")} | {"stability": F.least("training_stability", "held_out_stability")}
+    metrics = {k: metrics[k] for k in CLASSIFIERS[kind] if k in metrics}
+    reason = F.when(F.col("support").isNull() | (F.col("support") == 0), "no_rows").when(F.col("n").isNull(), "insufficient_support").when(~sound, "not_finite").otherwise("")
+    told = F.when(reason != "", "unidentifiable").otherwise(status(metrics, kind))
+    return j.select(key, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"), *names, told.alias("status"), reason.alias("reason"))
+
+
 def blocked_ridge(df: DataFrame, features: list[str], target: str, h: int, w: int, rows: int, cols: int, gap: int, alphas: list[float], keys: list[str] | None = None) -> DataFrame:
     """keys, block, alpha, counts, sse, sst of standardised ridge on several features. Only moments (one row a block) reach Python."""
     keys = keys or []

@@ -81,6 +81,24 @@ def shift_null(spark, sf_dir):
     return I.shift_null(d, "f", "t", h, WIDTH, ROWS, COLS, GAP, _MOVES, 0.3, **_LIM).select("shift", r6("r2", "r2"), "reaches")
 
 
+@query(
+    f"WITH {_BASE}, lb AS (SELECT band, y, x, v[1] AS f, (0.9 - 0.3 * band) * v[1] + 0.3 * band * v[band + 2] AS t FROM px, (SELECT unnest(range(4)) AS band)), {_folds('lb', 'band')}, "
+    "s AS (SELECT band, block, any_value(slope) AS slope, count(*) AS n, covar_pop(f, t) / var_pop(f) AS bs FROM pr GROUP BY band, block), e AS (SELECT band, sum(slope * n) / sum(n) AS e FROM s GROUP BY band), "
+    "w AS (SELECT band, any_value(e) AS e, avg(CASE WHEN sign(slope) = sign(e) THEN 1.0 ELSE 0.0 END) AS ts, avg(CASE WHEN sign(bs) = sign(e) THEN 1.0 ELSE 0.0 END) AS hs FROM s JOIN e USING (band) GROUP BY band), "
+    "m AS (SELECT band, count(*) AS n, 1 - sum((t - p) * (t - p)) / sum((t - base) * (t - base)) AS r2, covar_pop(t, p) / sqrt(var_pop(t) * var_pop(p)) AS rho, sqrt(avg((t - p) * (t - p))) AS rmse, stddev_pop(f) AS sf, stddev_pop(t) AS sd FROM pr GROUP BY band), "
+    "z AS (SELECT k.band, coalesce(n, 0) AS n, r2, rho, rmse, e, abs(e) * sf / sd AS fr, ts, hs, least(ts, hs) AS st FROM (SELECT unnest([0, 1, 2, 3, 9]) AS band) k LEFT JOIN m ON m.band = k.band LEFT JOIN w ON w.band = k.band) "
+    f"SELECT CAST(band AS INTEGER) AS band, n, {q6('r2', 'r2')}, {q6('rho', 'rho')}, {q6('rmse', 'rmse')}, {q6('e', 'estimate')}, {q6('fr', 'fraction')}, {q6('ts', 'training_stability')}, {q6('hs', 'held_out_stability')}, "
+    "CASE WHEN r2 >= 0.15 AND abs(rho) >= 0.45 AND fr >= 0.2 AND st >= 0.75 THEN 'identifiable' WHEN r2 >= 0.02 AND abs(rho) >= 0.2 AND fr >= 0.1 AND st >= 0.6 THEN 'weakly_identifiable' ELSE 'unidentifiable' END AS status, CASE WHEN band = 9 THEN 'no_rows' ELSE '' END AS reason FROM z"
+)
+def band_identifiability(spark, sf_dir):
+    """Report of each wanted band, fail-closed: one that isn't there is unidentifiable."""
+    v, b = F.col("v"), F.col("band")
+    d = pixels(spark, sf_dir).withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    d = d.select("band", "y", "x", v[0].alias("f"), ((0.9 - 0.3 * b) * v[0] + 0.3 * b * F.get(v, b + 1)).alias("t"))
+    r = I.band_report(d, "band", [0, 1, 2, 3, 9], "f", "t", height(d), WIDTH, ROWS, COLS, GAP, **_LIM)
+    return r.select("band", "n", *[r6(c, c) for c in ("r2", "rho", "rmse", "estimate", "fraction", "training_stability", "held_out_stability")], "status", "reason")
+
+
 @query()
 def block_bootstrap(spark, sf_dir):
     """Intervals of R2 and slope over draws of whole blocks."""

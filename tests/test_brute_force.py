@@ -131,3 +131,19 @@ def test_rock_proxy_masks_by_all_pairs_of_thresholds(spark):
         for k in range(3):
             if (c == k).any():
                 assert got[name, float(k)] == ((c == k).sum(), core[c == k].sum())
+
+
+def test_band_report_fails_closed_and_counts_shifts(spark):
+    rng = np.random.default_rng(8)
+    h, w = 24, 20
+    f = rng.standard_normal((h, w))
+    rows = []
+    for band, t in ((0, 2 * f + 0.1 * rng.standard_normal((h, w))), (1, rng.standard_normal((h, w))), (2, np.full((h, w), np.nan))):
+        rows += [(band, y, x, float(f[y, x]), None if np.isnan(t[y, x]) else float(t[y, x])) for y in range(h) for x in range(w)]
+    rows += [(3, 0, 0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "band int, y int, x int, f double, t double")
+    moves = I.shifts(h, w, 1, 3, 2, 19, 5)
+    got = {r.band: r for r in I.band_report(df, "band", [0, 1, 2, 3, 7], "f", "t", h, w, 3, 2, 1, moves, least_train=20, least_test=4).collect()}
+    assert (got[0].status, got[0].reason, got[0].p) == ("identifiable", "", pytest.approx(0.05))
+    assert got[1].status == "unidentifiable" and got[1].reason == "" and got[1].p > 0.05
+    assert [(got[k].status, got[k].reason) for k in (2, 3, 7)] == [("unidentifiable", "no_rows"), ("unidentifiable", "insufficient_support"), ("unidentifiable", "no_rows")]
