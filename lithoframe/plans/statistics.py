@@ -94,12 +94,13 @@ def irls_affine(df: DataFrame, by: list[str], x: str, y: str, gain_limits=(0.25,
     model = checkpointed(q.withColumn("gain", gain).withColumn("offset", F.col("yq")[2] - F.col("gain") * F.col("xq")[2]))
     inside = (F.col("n") >= 64) & F.col("x").between(F.col("xq")[0], F.col("xq")[4]) & F.col("y").between(F.col("yq")[0], F.col("yq")[4])
     fit = checkpointed(rows.join(model.select(*g, "xq", "yq", "n"), g).where(inside).select(*g, "x", "y"))
+    sizes = tuple(fit.groupBy(*g).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.min("n"), F.lit(0))).first())
     now = model.select(*g, "n", "gain", "offset")
     for _ in range(passes):
         r = fit.join(now.select(*g, "gain", "offset"), g).withColumn("r", F.col("y") - (F.col("gain") * F.col("x") + F.col("offset")))
-        mid = quantiles(r, g, {"mid": F.col("r")}, [0.5]).select(*g, F.col("mid")[0].alias("mid"))
+        mid = quantiles(r, g, {"mid": F.col("r")}, [0.5], sizes=sizes).select(*g, F.col("mid")[0].alias("mid"))
         away = r.join(mid, g)
-        scale = quantiles(away, g, {"d": F.abs(F.col("r") - F.col("mid"))}, [0.5]).select(*g, (1.4826 * F.col("d")[0] + 1e-6).alias("scale"))
+        scale = quantiles(away, g, {"d": F.abs(F.col("r") - F.col("mid"))}, [0.5], sizes=sizes).select(*g, (1.4826 * F.col("d")[0] + 1e-6).alias("scale"))
         w = r.join(scale, g).withColumn("w", 1 / (1 + (F.col("r") / (2.5 * F.col("scale"))) ** 2))
         s = w.groupBy(*g).agg(F.sum("w").alias("sw"), F.sum(F.expr("w * x")).alias("sx"), F.sum(F.expr("w * y")).alias("sy"), F.sum(F.expr("w * x * x")).alias("sxx"), F.sum(F.expr("w * x * y")).alias("sxy"))
         det = F.expr("sw * sxx - sx * sx")
