@@ -33,6 +33,7 @@ from lithoframe.operators import report as R6
 from lithoframe.operators import resample as R
 from lithoframe.operators import uncertainty as U
 from lithoframe.operators.scenes import MOST_PIXELS
+from lithoframe.session import checkpointed
 from lithoframe.sources import artifacts, envi
 from lithoframe.sources.store import Store
 
@@ -295,10 +296,10 @@ def band_reports(spark: SparkSession, product: Product, rgb: np.ndarray, axis: n
         if abs(axis[k] - target) > max(5.0, float(np.diff(axis).max())):
             continue
         plane = np.maximum(product.bands([k])[..., 0], 0)
-        marked = Q.masks(Q.detail_planes(colour.join(from_plane(spark, plane, "band"), ["y", "x"]), "band"), lim).cache()
+        # The planes are cut once: masks, statistics and support read them again.
+        marked = Q.masks(checkpointed(Q.detail_planes(colour.join(from_plane(spark, plane, "band"), ["y", "x"]), "band")), lim)
         rows = [r.asDict() for r in Q.detail_report(marked).collect()]
         ok = to_plane(marked.select("y", "x", F.col("reliable").cast("double").alias("m")), "m", y.shape) > 0
-        marked.unpersist()
         extra = {"structure": Q.gradient_structure(y, plane, ok), "halo": Q.halo(y, plane, ok)}
         at = {r["mask"]: r for r in rows if r["scale"] == Q.SCALES[1]}
         out.append({"wavelength_nm": float(axis[k]), "statistics": rows, **extra, "screening": Q.screened(at | extra, lim)})
