@@ -38,6 +38,16 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PX = f"px AS (SELECT vec_id, CAST(vec_id // {WIDTH} AS INTEGER) AS y, CAST(vec_id % {WIDTH} AS INTEGER) AS x, label, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v FROM embeddings)"
+#: The four broad planes of a pixel: means of a quarter of its bands each, so a plane query reads all of the table.
+QUARTER = [f"(list_sum(v[{BANDS // 4 * k + 1}:{BANDS // 4 * (k + 1)}]) / {BANDS // 4})" for k in range(4)]
+
+
+def quarter(k: int, v: str = "v") -> Column:
+    """The mean of the k-th quarter of the bands."""
+    n = BANDS // 4
+    return F.aggregate(F.slice(v, n * k + 1, n), F.lit(0.0), lambda t, x: t + x) / n
+
+
 #: One row per pixel and band, bands from 0.
 LONG = PX + f", lg AS (SELECT vec_id, y, x, label, unnest(range({BANDS})) AS band, unnest(v) AS v FROM px)"
 

@@ -1,4 +1,4 @@
-"""Grid queries: stencils, resampling and warps over band 0 of the embeddings as a plane."""
+"""Grid queries: stencils, resampling and warps over broad planes, each the mean of a quarter of the bands."""
 
 from __future__ import annotations
 
@@ -10,20 +10,20 @@ from lithoframe.operators import planes as P
 from lithoframe.operators import resample as R
 from lithoframe.operators.quantiles import quantiles
 from lithoframe.operators.tiles import stencil
-from lithoframe.plans.base import PX, WIDTH, pixels, q6, query, r6
+from lithoframe.plans.base import PX, QUARTER, WIDTH, pixels, q6, quarter, query, r6
 
 H = "(SELECT max(y) FROM px)"
 
 
 def plane(spark: SparkSession, sf_dir: str, band: int = 0) -> DataFrame:
-    return pixels(spark, sf_dir).select("y", "x", F.col("v")[band].alias("v"))
+    return pixels(spark, sf_dir).select("y", "x", quarter(band).alias("v"))
 
 
 def height(df: DataFrame) -> int:
     return int(df.agg(F.max("y")).first()[0]) + 1
 
 
-_PLANE = PX + ", p AS (SELECT y, x, v[1] AS v FROM px), dims AS (SELECT max(y) AS my, max(x) AS mx FROM p)"
+_PLANE = PX + f", p AS (SELECT y, x, {QUARTER[0]} AS v FROM px), dims AS (SELECT max(y) AS my, max(x) AS mx FROM p)"
 
 
 def _mirror(c: str, top: str) -> str:
@@ -80,13 +80,13 @@ def box_mean(spark, sf_dir):
 
 
 @query(
-    f"WITH {PX}, pa AS (SELECT y, x, v[1] AS v FROM px), pb AS (SELECT y, x, v[2] AS v FROM px), dims AS (SELECT max(y) AS my, max(x) AS mx FROM pa), aa AS (SELECT y, x, v * v AS v FROM pa), bb AS (SELECT y, x, v * v AS v FROM pb), ab AS (SELECT y, x, pa.v * pb.v AS v FROM pa JOIN pb USING (y, x)), "
+    f"WITH {PX}, pa AS (SELECT y, x, {QUARTER[0]} AS v FROM px), pb AS (SELECT y, x, {QUARTER[1]} AS v FROM px), dims AS (SELECT max(y) AS my, max(x) AS mx FROM pa), aa AS (SELECT y, x, v * v AS v FROM pa), bb AS (SELECT y, x, v * v AS v FROM pb), ab AS (SELECT y, x, pa.v * pb.v AS v FROM pa JOIN pb USING (y, x)), "
     + ", ".join(sql_box(s, "m" + s, 2) for s in ("pa", "pb", "aa", "bb", "ab"))
     + f" SELECT y, x, {_v(e='greatest(least((mab.v - mpa.v * mpb.v) / sqrt(greatest((maa.v - mpa.v * mpa.v) * (mbb.v - mpb.v * mpb.v), 1e-18)), 1), -1)')} FROM mpa JOIN mpb USING (y, x) JOIN maa USING (y, x) JOIN mbb USING (y, x) JOIN mab USING (y, x)"
 )
 def local_correlation(spark, sf_dir):
     """Correlation of two bands in 5x5 windows."""
-    d = pixels(spark, sf_dir).select("y", "x", F.col("v")[0].alias("a"), F.col("v")[1].alias("b"))
+    d = pixels(spark, sf_dir).select("y", "x", quarter(0).alias("a"), quarter(1).alias("b"))
     return stencil(d, lambda a: {"o": P.local_correlation(a["a"], a["b"], 2)}, ["a", "b"], ["o"], 2, tile=16).select("y", "x", r6("o", "value"))
 
 
@@ -142,25 +142,25 @@ def dilate_erode(spark, sf_dir):
 
 
 @query(
-    f"WITH {PX}, r AS (SELECT y, x, v[1] AS v, v[2] AS anchor, exp(-abs(v[3])) AS wx, exp(-abs(v[4])) AS wy FROM px), dims AS (SELECT max(y) AS my, max(x) AS mx FROM r) "
+    f"WITH {PX}, r AS (SELECT y, x, {QUARTER[0]} AS v, {QUARTER[1]} AS anchor, exp(-abs({QUARTER[2]})) AS wx, exp(-abs({QUARTER[3]})) AS wy FROM px), dims AS (SELECT max(y) AS my, max(x) AS mx FROM r) "
     f"SELECT a.y, a.x, {_v(e='a.v + 0.2 * (a.wx * (e.v - a.v) - w.wx * (a.v - w.v) + a.wy * (s.v - a.v) - n.wy * (a.v - n.v)) + 0.05 * (a.anchor - a.v)')} FROM r a CROSS JOIN dims "
     + " ".join(f"JOIN r {t} ON {t}.y = {_mirror(f'(a.y + {dy})', 'my')} AND {t}.x = {_mirror(f'(a.x + {dx})', 'mx')}" for t, dy, dx in (("e", 0, 1), ("w", 0, -1), ("s", 1, 0), ("n", -1, 0)))
 )
 def diffusion_step(spark, sf_dir):
     """One step of weighted diffusion between four neighbours with an anchor."""
-    d = pixels(spark, sf_dir).select("y", "x", F.col("v")[0].alias("v"), F.col("v")[1].alias("c"), F.exp(-F.abs(F.col("v")[2])).alias("wx"), F.exp(-F.abs(F.col("v")[3])).alias("wy"))
+    d = pixels(spark, sf_dir).select("y", "x", quarter(0).alias("v"), quarter(1).alias("c"), F.exp(-F.abs(quarter(2))).alias("wx"), F.exp(-F.abs(quarter(3))).alias("wy"))
     return stencil(d, lambda a: {"o": P.diffusion_step(a["v"], a["c"], a["wx"], a["wy"], 0.2, 0.05)}, ["v", "c", "wx", "wy"], ["o"], 1, tile=16).select("y", "x", r6("o", "value"))
 
 
 @query(
-    f"WITH {PX}, g AS (SELECT y, x, v[1] AS v FROM px), a AS (SELECT y, x, v[2] AS v FROM px), dims AS (SELECT max(y) AS my, max(x) AS mx FROM g), gg AS (SELECT y, x, v * v AS v FROM g), ga AS (SELECT y, x, g.v * a.v AS v FROM g JOIN a USING (y, x)), "
+    f"WITH {PX}, g AS (SELECT y, x, {QUARTER[0]} AS v FROM px), a AS (SELECT y, x, {QUARTER[1]} AS v FROM px), dims AS (SELECT max(y) AS my, max(x) AS mx FROM g), gg AS (SELECT y, x, v * v AS v FROM g), ga AS (SELECT y, x, g.v * a.v AS v FROM g JOIN a USING (y, x)), "
     + ", ".join(sql_box(s, "m" + s, 2) for s in ("g", "a", "gg", "ga"))
     + ", sl AS (SELECT y, x, (mga.v - mg.v * ma.v) / (mgg.v - mg.v * mg.v + 0.01) AS v, mg.v AS g, ma.v AS a FROM mg JOIN ma USING (y, x) JOIN mgg USING (y, x) JOIN mga USING (y, x)), ic AS (SELECT y, x, a - v * g AS v FROM sl), "
     + sql_box("sl", "ms", 2) + ", " + sql_box("ic", "mi", 2) + f" SELECT y, x, {_v(e='ms.v * g.v + mi.v')} FROM ms JOIN mi USING (y, x) JOIN g USING (y, x)"
 )
 def guided_filter(spark, sf_dir):
     """Guided filter of one band by another."""
-    d = pixels(spark, sf_dir).select("y", "x", F.col("v")[0].alias("g"), F.col("v")[1].alias("a"))
+    d = pixels(spark, sf_dir).select("y", "x", quarter(0).alias("g"), quarter(1).alias("a"))
     return stencil(d, lambda a: {"o": P.guided_filter(a["g"], a["a"], 2, 0.01)}, ["g", "a"], ["o"], 4, tile=16).select("y", "x", r6("o", "value"))
 
 
@@ -239,12 +239,12 @@ def drift_lookup(spark, sf_dir):
 
 
 @query(
-    f"WITH {PX}, d AS (SELECT y, x, 0.3 * v[1] AS sy, 0.3 * v[2] AS sx FROM px), g AS (SELECT (lead(sy) OVER wy - lag(sy) OVER wy) / 2 AS yy, (lead(sx) OVER wx - lag(sx) OVER wx) / 2 AS xx, (lead(sy) OVER wx - lag(sy) OVER wx) / 2 AS yx, (lead(sx) OVER wy - lag(sx) OVER wy) / 2 AS xy FROM d WINDOW wy AS (PARTITION BY x ORDER BY y), wx AS (PARTITION BY y ORDER BY x)) "
+    f"WITH {PX}, d AS (SELECT y, x, 0.3 * {QUARTER[0]} AS sy, 0.3 * {QUARTER[1]} AS sx FROM px), g AS (SELECT (lead(sy) OVER wy - lag(sy) OVER wy) / 2 AS yy, (lead(sx) OVER wx - lag(sx) OVER wx) / 2 AS xx, (lead(sy) OVER wx - lag(sy) OVER wx) / 2 AS yx, (lead(sx) OVER wy - lag(sx) OVER wy) / 2 AS xy FROM d WINDOW wy AS (PARTITION BY x ORDER BY y), wx AS (PARTITION BY y ORDER BY x)) "
     f"SELECT {q6('quantile_cont((1 + yy) * (1 + xx) - yx * xy, 0.01)', 'jacobian_p01')}, count(*) AS n FROM g WHERE yy IS NOT NULL AND xx IS NOT NULL"
 )
 def jacobian_p01(spark, sf_dir):
     """First percentile of the Jacobian of a displacement field."""
-    d = pixels(spark, sf_dir).select("y", "x", (0.3 * F.col("v")[0]).alias("sy"), (0.3 * F.col("v")[1]).alias("sx"))
+    d = pixels(spark, sf_dir).select("y", "x", (0.3 * quarter(0)).alias("sy"), (0.3 * quarter(1)).alias("sx"))
     wy, wx = Window.partitionBy("x").orderBy("y"), Window.partitionBy("y").orderBy("x")
     c = lambda v, w: (F.lead(v).over(w) - F.lag(v).over(w)) / 2
     g = d.select(c("sy", wy).alias("yy"), c("sx", wx).alias("xx"), c("sy", wx).alias("yx"), c("sx", wy).alias("xy")).where("yy is not null and xx is not null")
@@ -271,14 +271,14 @@ def row_peaks(spark, sf_dir):
 
 
 @query(
-    f"WITH {PX}, l AS (SELECT unnest(range(-3, 4)) AS lag), d AS (SELECT a.y, lag, a.v[1] AS p, b.v[2] AS q FROM px a CROSS JOIN l JOIN px b ON b.y = a.y AND b.x = a.x + lag), c AS (SELECT y, lag, covar_pop(p, q) / sqrt(var_pop(p) * var_pop(q)) AS r FROM d GROUP BY y, lag), k AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY round(r, 9) DESC, lag) AS k FROM c) "
+    f"WITH {PX}, l AS (SELECT unnest(range(-3, 4)) AS lag), d AS (SELECT a.y, lag, {QUARTER[0].replace('(v', '(a.v')} AS p, {QUARTER[1].replace('(v', '(b.v')} AS q FROM px a CROSS JOIN l JOIN px b ON b.y = a.y AND b.x = a.x + lag), c AS (SELECT y, lag, covar_pop(p, q) / sqrt(var_pop(p) * var_pop(q)) AS r FROM d GROUP BY y, lag), k AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY round(r, 9) DESC, lag) AS k FROM c) "
     f"SELECT y, CAST(max(lag) FILTER (k = 1) AS INTEGER) AS lag, {_v('score', 'max(r) FILTER (k = 1)')}, {_v('margin', 'max(r) FILTER (k = 1) - max(r) FILTER (k = 2)')} FROM k GROUP BY y"
 )
 def lag_search(spark, sf_dir):
     """Best lag of one band's rows against another's, and its margin over the second best."""
     p = pixels(spark, sf_dir)
-    a = p.select("y", "x", F.col("v")[0].alias("p")).withColumn("lag", F.explode(F.sequence(F.lit(-3), F.lit(3)))).withColumn("x", F.col("x") + F.col("lag"))
-    b = p.select("y", "x", F.col("v")[1].alias("q"))
+    a = p.select("y", "x", quarter(0).alias("p")).withColumn("lag", F.explode(F.sequence(F.lit(-3), F.lit(3)))).withColumn("x", F.col("x") + F.col("lag"))
+    b = p.select("y", "x", quarter(1).alias("q"))
     d = a.join(b, ["y", "x"])
     c = d.groupBy("y", "lag").agg((F.covar_pop("p", "q") / F.sqrt(F.var_pop("p") * F.var_pop("q"))).alias("r"))
     k = c.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy(F.round("r", 9).desc(), "lag")))
@@ -301,14 +301,14 @@ def edge_width(spark, sf_dir):
 
 
 @query(
-    f"WITH {PX}, pa AS (SELECT y, x, v[1] AS v FROM px), pb AS (SELECT y, x, 0.7 * v[1] + 0.3 * v[2] AS v FROM px), dims AS (SELECT max(y) AS my, max(x) AS mx FROM pa), {sql_gradient('pa', 'ga')}, {sql_gradient('pb', 'gb')}, "
+    f"WITH {PX}, pa AS (SELECT y, x, {QUARTER[0]} AS v FROM px), pb AS (SELECT y, x, 0.7 * {QUARTER[0]} + 0.3 * {QUARTER[1]} AS v FROM px), dims AS (SELECT max(y) AS my, max(x) AS mx FROM pa), {sql_gradient('pa', 'ga')}, {sql_gradient('pb', 'gb')}, "
     "qa AS (SELECT quantile_cont(v, 0.9) AS q FROM ga), qb AS (SELECT quantile_cont(v, 0.9) AS q FROM gb), ea AS (SELECT y, x FROM ga, qa WHERE v >= q), eb AS (SELECT y, x FROM gb, qb WHERE v >= q), "
     "hit AS (SELECT (SELECT count(*) FROM eb WHERE EXISTS (SELECT 1 FROM ea WHERE abs(ea.y - eb.y) <= 1 AND abs(ea.x - eb.x) <= 1)) * 1.0 / (SELECT count(*) FROM eb) AS p, (SELECT count(*) FROM ea WHERE EXISTS (SELECT 1 FROM eb WHERE abs(ea.y - eb.y) <= 1 AND abs(ea.x - eb.x) <= 1)) * 1.0 / (SELECT count(*) FROM ea) AS r) "
     f"SELECT {_v('precision', 'p')}, {_v('recall', 'r')}, {_v('f1', '2 * p * r / (p + r)')}, (SELECT {_v('z', 'avg(abs(ga.gx * gb.gx + ga.gy * gb.gy) / (ga.v * gb.v))').replace(' AS z', '')} FROM ga JOIN gb USING (y, x) JOIN ea USING (y, x) WHERE ga.v * gb.v > 0) AS coherence FROM hit"
 )
 def edge_f1(spark, sf_dir):
     """Top-decile edges of two planes: precision, recall and F1 within one pixel, and orientation coherence."""
-    d = pixels(spark, sf_dir).select("y", "x", F.col("v")[0].alias("a"), (0.7 * F.col("v")[0] + 0.3 * F.col("v")[1]).alias("b"))
+    d = pixels(spark, sf_dir).select("y", "x", quarter(0).alias("a"), (0.7 * quarter(0) + 0.3 * quarter(1)).alias("b"))
 
     def k(z):
         ax, ay = P.gradient(z["a"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lithoframe.operators import identifiability as I
 from lithoframe.operators import uncertainty as U
-from lithoframe.plans.base import PX, WIDTH, pixels, q6, query, r6, table
+from lithoframe.plans.base import PX, QUARTER, WIDTH, pixels, q6, quarter, query, r6, table
 from lithoframe.plans.grid import height
 
 ROWS, COLS, GAP = 3, 2, 1
@@ -14,13 +14,13 @@ _LIM = dict(least_train=20, least_test=4)
 
 
 def _xy(spark, sf_dir):
-    """Two related bands and the height of their plane."""
-    d = pixels(spark, sf_dir).select("y", "x", F.col("v")[0].alias("f"), (0.6 * F.col("v")[0] + 0.4 * F.col("v")[1]).alias("t"))
+    """Two related broad planes and their height."""
+    d = pixels(spark, sf_dir).select("y", "x", quarter(0).alias("f"), (0.6 * quarter(0) + 0.4 * quarter(1)).alias("t"))
     return d, height(d)
 
 
 _BASE = (
-    PX + f", d AS (SELECT y, x, v[1] AS f, 0.6 * v[1] + 0.4 * v[2] AS t FROM px), hh AS (SELECT max(y) + 1 AS h FROM d), blk AS (SELECT d.*, CAST(least(y * {ROWS} // h, {ROWS - 1}) * {COLS} + least(x * {COLS} // {WIDTH}, {COLS - 1}) AS INTEGER) AS block FROM d, hh), "
+    PX + f", d AS (SELECT y, x, {QUARTER[0]} AS f, 0.6 * {QUARTER[0]} + 0.4 * {QUARTER[1]} AS t FROM px), hh AS (SELECT max(y) + 1 AS h FROM d), blk AS (SELECT d.*, CAST(least(y * {ROWS} // h, {ROWS - 1}) * {COLS} + least(x * {COLS} // {WIDTH}, {COLS - 1}) AS INTEGER) AS block FROM d, hh), "
     f"r AS (SELECT block, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM blk GROUP BY block)"
 )
 

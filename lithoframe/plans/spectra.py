@@ -87,12 +87,12 @@ def overlap_blend(spark, sf_dir):
 
 
 @query(
-    f"WITH {PX}, c AS (SELECT vec_id, list_transform(v[1:8], lambda e: 3 * e) AS c FROM px), s AS (SELECT vec_id, c, list_reverse_sort(c) AS s FROM c), t AS (SELECT vec_id, c, unnest(range(1, 9)) AS k, s FROM s), u AS (SELECT vec_id, any_value(c) AS c, max(CASE WHEN s[k] - (list_sum(s[1:k]) - 1) / k > 0 THEN (k, (list_sum(s[1:k]) - 1) / k) END) AS m FROM t GROUP BY vec_id), "
-    f"p AS (SELECT vec_id, list_transform(c, lambda e: greatest(e - m[2], 0)) AS p FROM u) SELECT vec_id, unnest(range(8)) AS band, round(unnest(list_transform(p, lambda e: e / list_sum(p))), 6) + 0.0 AS value FROM p"
+    f"WITH {PX}, c AS (SELECT vec_id, list_transform(v, lambda e: 3 * e) AS c FROM px), s AS (SELECT vec_id, c, list_reverse_sort(c) AS s FROM c), t AS (SELECT vec_id, c, unnest(range(1, 65)) AS k, s FROM s), u AS (SELECT vec_id, any_value(c) AS c, max(CASE WHEN s[k] - (list_sum(s[1:k]) - 1) / k > 0 THEN (k, (list_sum(s[1:k]) - 1) / k) END) AS m FROM t GROUP BY vec_id), "
+    f"p AS (SELECT vec_id, list_transform(c, lambda e: greatest(e - m[2], 0)) AS p FROM u) SELECT vec_id, unnest(range(64)) AS band, round(unnest(list_transform(p, lambda e: e / list_sum(p))), 6) + 0.0 AS value FROM p"
 )
 def simplex_project(spark, sf_dir):
-    """Projection of eight coefficients onto the probability simplex."""
-    c = F.transform(F.slice("v", 1, 8), lambda e: 3 * e)
+    """Projection of all coefficients onto the probability simplex."""
+    c = F.transform("v", lambda e: 3 * e)
     return _numbered(pixels(spark, sf_dir).select("vec_id", V.simplex(c).alias("v")), ["vec_id"])
 
 
@@ -166,13 +166,13 @@ def additive_spectral_scale(spark, sf_dir):
     return one.select(F.posexplode("s").alias("band", "scale")).select(F.col("band").cast("long").alias("band"), r6("scale", "scale"))
 
 
-_SG = V.savgol_matrix(16, 11, 3)
+_SG = V.savgol_matrix(BANDS, 11, 3)
 
 
-@query(f"WITH {PX}, m(k, w) AS (VALUES " + ", ".join(f"({k}, {_list(row)})" for k, row in enumerate(_SG)) + f") SELECT vec_id, CAST(k AS BIGINT) AS band, {q6('list_dot_product(v[1:16], w)', 'value')} FROM px, m")
+@query(f"WITH {PX}, m(k, w) AS (VALUES " + ", ".join(f"({k}, {_list(row)})" for k, row in enumerate(_SG)) + f") SELECT vec_id, CAST(k AS BIGINT) AS band, {q6('list_dot_product(v, w)', 'value')} FROM px, m")
 def savgol_smooth(spark, sf_dir):
     """Savitzky-Golay smoothing along bands, polynomial at both ends."""
-    return _numbered(pixels(spark, sf_dir).select("vec_id", V.smooth(F.slice("v", 1, 16), _SG).alias("v")), ["vec_id"])
+    return _numbered(pixels(spark, sf_dir).select("vec_id", V.smooth(F.col("v"), _SG).alias("v")), ["vec_id"])
 
 
 @query(f"WITH {PX} SELECT vec_id, {q6('0.299 * v[1] + 0.587 * v[2] + 0.114 * v[3]', 'luma')}, {q6('ln(1 + 4 * greatest(v[1], 0)) / ln(5)', 'compressed')}, {q6('CASE WHEN v[4] <= 0 THEN 0 WHEN v[4] >= 0.2 THEN 1 ELSE (v[4] / 0.2) * (v[4] / 0.2) * (3 - 2 * (v[4] / 0.2)) END', 'gate')}, {q6('CASE WHEN abs(v[5] - 2 * v[6] + v[7]) <= 1e-6 THEN 0 ELSE least(greatest(0.5 * (v[5] - v[7]) / (v[5] - 2 * v[6] + v[7]), -0.75), 0.75) END', 'peak_offset')} FROM px")
