@@ -66,13 +66,14 @@ HOLDS = {"li": ("ul", "ol", "menu", "dir"), "dd": ("dl",), "dt": ("dl",), "tr":
 #: Words that mark what isn't the article.
 CHROME = frozenset(
     "ad ads adv advert adverts advertisement advertisements adbox adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert alerts popup modal overlay "
-    "sidebar aside menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar footer comment comments commentlist disqus reply replies respond "
+    "side sidebar aside menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar foot footer legal comment comments commentlist disqus reply replies respond "
     "related recommended recommendations share sharing social subscribe subscription newsletter signup login search form widget widgets toolbar pagination pager skip copyright".split()
 )
 #: Words that say nothing of the content beside one of those.
 PLAIN = frozenset(
-    "a area article b bar block blog body bottom box btn button buttons col column container content cta entry foot global group head header holder i icons inner inline item items left lg link links list "
-    "main md media middle mobile outer page panel post posts primary reader readers region right row secondary section site slot sm stories story sub tertiary thread top unit user users wrap wrapper xs".split()
+    "a area article articles author avatar b bar block blog body bottom box btn button buttons cat col column container content count cta date email entry fixed global group head header "
+    "holder i icon icons info inner inline item items label law left lg link links list main manager md media message meta middle mobile more name news now outer page pages panel policy post posts "
+    "primary reader readers reading region right row secondary section site slot sm stories story sub sticky tabs tertiary text this thread title top topics trail unit user users warning wrap wrapper x xs".split()
 )
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())

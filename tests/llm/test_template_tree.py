@@ -173,7 +173,7 @@ def test_names_that_only_begin_like_marks_stay(name):
         assert te.main_text(te.Walk(f"<article><p>a b</p><{tag} class='{name}'><p>c d</p></{tag}></article>")) == "a b\n\nc d"
 
 
-@pytest.mark.parametrize("name", ["ad", "ad-slot-3", "cookie-notice", "readerComments", "comment-list", "site-footer", "sidebar_left", "share-buttons", "newsletter signup", "main-menu", "related-posts"])
+@pytest.mark.parametrize("name", ["ad", "ad-slot-3", "cookie-notice", "readerComments", "comment-list", "site-footer", "sidebar_left", "share-buttons", "newsletter signup", "main-menu", "related-posts", "ad-300x250", "side-bar", "legal-notice", "comment-text", "related-articles", "cookie-policy"])
 def test_marked_boxes_go(name):
     assert te.main_text(te.Walk(f"<article><p>a b</p><div class='{name}'><p>c d</p></div></article>")) == "a b"
 
