@@ -64,6 +64,13 @@ def log_high_pass(a: np.ndarray, eps: float, sigma: float) -> np.ndarray:
 
 
 def shifted(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
+    """The plane moved by whole pixels; what comes in over the border is mirrored there."""
+    p = np.pad(a, ((abs(dy), abs(dy)), (abs(dx), abs(dx))), mode="reflect")
+    return p[abs(dy) - dy : abs(dy) - dy + a.shape[0], abs(dx) - dx : abs(dx) - dx + a.shape[1]]
+
+
+def rolled(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
+    """The plane moved around its torus."""
     return np.roll(a, (dy, dx), (0, 1))
 
 
@@ -104,8 +111,9 @@ def bilateral(a: np.ndarray, diameter: int, sigma_value: float, sigma_space: flo
 
 
 def diffusion_step(a: np.ndarray, anchor: np.ndarray, wx: np.ndarray, wy: np.ndarray, strength: float, anchor_weight: float) -> np.ndarray:
-    """One explicit step of weighted diffusion towards the four neighbours, held to an anchor."""
-    flow = wx * (shifted(a, 0, -1) - a) - shifted(wx, 0, 1) * (a - shifted(a, 0, 1)) + wy * (shifted(a, -1, 0) - a) - shifted(wy, 1, 0) * (a - shifted(a, 1, 0))
+    """One explicit step of weighted diffusion towards the four neighbours, held to an anchor. Nothing flows over the last
+    column and row where their weights are zero."""
+    flow = wx * (rolled(a, 0, -1) - a) - rolled(wx, 0, 1) * (a - rolled(a, 0, 1)) + wy * (rolled(a, -1, 0) - a) - rolled(wy, 1, 0) * (a - rolled(a, 1, 0))
     return a + strength * flow + anchor_weight * (anchor - a)
 
 
