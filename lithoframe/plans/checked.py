@@ -56,7 +56,7 @@ ARROW = {
 # Sources and sinks -------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {LONG} SELECT band, count(*) AS n, {q6('avg(v)', 'mean')}, {q6('min(v)', 'lowest')}, {q6('max(v)', 'highest')}, 691.0 + 29.0 * band AS wavelength FROM lg GROUP BY band")
+@query(f"WITH {LONG} SELECT band, count(*) AS n, {q6('avg(v)', 'mean')}, {q6('min(v)', 'lowest')}, {q6('max(v)', 'highest')}, CAST(691.0 + 29.0 * band AS DOUBLE) AS wavelength FROM lg GROUP BY band")
 def envi_round_trip(spark, sf_dir):
     """The pixel grid written as a raster by its executors and read again in strips, each band with its wavelength."""
     px = pixels(spark, sf_dir)
