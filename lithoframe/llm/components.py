@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithoframe.llm.textarr import small_batches
 from lithoframe.session import shared_dir
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again, which cuts its lineage."""
     spark = df.sparkSession
+    small_batches(spark)
     at = f"{shared_dir(spark)}/lithoframe-{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)

@@ -426,7 +426,7 @@ class Transducer:
             parts = [x for p in parts for x in (re.split("(\n)", p) if "\n" in p else (p,))]
         return [p for p in parts if p]
 
-    def encode_all(self, texts: list[str | None], most_words: int = 60_000) -> list[np.ndarray]:
+    def encode_all(self, texts: list[str | None], most_words: int = 40_000) -> list[np.ndarray]:
         """Ids of each whole text."""
         split = [self.units(self.normalise(t or "")) for t in texts]
         if len(self.words) > most_words:  # two generations: words met again lately stay

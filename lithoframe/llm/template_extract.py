@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithoframe.llm.components import drop, written
-from lithoframe.llm.textarr import BROADCAST_BYTES
+from lithoframe.llm.textarr import BROADCAST_BYTES, settle
 
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
 STOP = re.compile(r"""[>"']""")
@@ -446,6 +446,7 @@ def _by_host(batches: Iterator, own: int, make) -> Iterator[tuple]:
     """(own columns, host, make(the columns after it)) of each row; what is made is kept for up to 1,000 hosts."""
     held: dict = {}
     for columns in batches:
+        settle()
         for at in range(0, len(columns[0]), 64):
             part = [x.slice(at, 64) for x in columns]
             for j, (*mine, name) in enumerate(zip(*(x.to_pylist() for x in part[: own + 1]))):

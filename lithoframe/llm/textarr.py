@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,14 +15,42 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 
+#: Bytes of texts that a Python worker gets at once; Spark's own default is 64 MB, twice held on each side.
+BATCH_BYTES = 8 << 20
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let texts pass in batches of ``BATCH_BYTES``, unless the session has another size than Spark's default."""
+    if int(spark.conf.get(_BATCH, str(_DEFAULT)).rstrip("b")) == _DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(1)
+def _trim():
+    """The C library's own way to give freed memory back, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def settle() -> None:
+    """Give back what Arrow and the C library keep of freed memory: workers live on, and would each keep the most they ever held."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def pieces_of(arr: pa.Array, rows: int = 256) -> Iterator[pa.Array]:
     """The array in slices, so that Python objects exist for few rows at a time."""
     for at in range(0, len(arr), rows):
         yield arr.slice(at, rows)
+    settle()
 
 
 def utf8(arr: pa.Array) -> Iterator[np.ndarray | None]:
@@ -37,6 +66,7 @@ def utf8(arr: pa.Array) -> Iterator[np.ndarray | None]:
     valid = arr.is_valid().to_numpy(zero_copy_only=False)
     for k in range(n):
         yield data[off[k] : off[k + 1]] if valid[k] else None
+    settle()
 
 
 @lru_cache(1)
@@ -154,6 +184,7 @@ class HashTable:
 
 def publish(spark: SparkSession, obj, size: int):
     """A broadcast of a model whose size has been checked."""
+    small_batches(spark)
     if size > BROADCAST_BYTES:
         raise ValueError(f"model of {size} bytes is over the broadcast bound of {BROADCAST_BYTES}")
     return spark.sparkContext.broadcast(obj)
