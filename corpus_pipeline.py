@@ -1,6 +1,6 @@
 """From raw documents to token ids: five stages, each applied to all that the one before it kept.
 
-quality (rejected documents go), near copies by five-word Jaccard (one document of each group stays), benchmark
+quality (rejected documents go), near copies by SimHash and pigeonring, verified by five-word Jaccard (one document of each group stays), benchmark
 decontamination (documents that hold a test item go), secrets (replaced in the text), SentencePiece ids.
 A stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs.
 """

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithoframe.llm.components import components, drop, one_row_each, written
-from lithoframe.llm.textarr import utf8
+from lithoframe.llm.textarr import mix, utf8
 
 SEGMENTS, WIDTH, BUDGET = 4, 16, 3
 _hash = xxhash.xxh64_intdigest
@@ -73,6 +73,58 @@ def chain_ok(a: np.ndarray, b: np.ndarray, first: np.ndarray) -> np.ndarray:
     return ok
 
 
+_LANES = np.uint64(0x0101010101010101)
+
+
+def wide_fingerprint(h: np.ndarray, words: int) -> np.ndarray:
+    """A fingerprint of ``words`` times 64 bits of a set of hashes: a bit is 1 if set in over half of them, mixed anew for each word."""
+    count = np.zeros((8, 8 * words), np.int64)
+    seeds = mix(np.arange(1, words + 1, dtype=np.uint64))
+    for at in range(0, len(h), 255 * 16):
+        x = mix(h[at : at + 255 * 16, None] ^ seeds)
+        for k in range(8):
+            # A byte holds the sum of a bit over up to 255 hashes.
+            lanes = np.add.reduceat((x >> np.uint64(k)) & _LANES, np.arange(0, len(x), 255), axis=0)
+            count[k] += lanes.view(np.uint8).sum(0, dtype=np.int64)
+    return np.packbits((count * 2 > len(h)).T, axis=1, bitorder="little").reshape(-1).view(np.uint64)
+
+
+def ring_ok(d: np.ndarray, budget: int) -> np.ndarray:
+    """Whether some segment starts chains that all stay within their shares of the budget, by the distances d (pair, segment)."""
+    n = d.shape[1]
+    share = np.arange(1, n + 1) * budget // n
+    ok = np.zeros(len(d), bool)
+    for first in range(n):
+        ok |= (np.cumsum(np.roll(d, -first, axis=1), axis=1, dtype=np.int64) <= share).all(1)
+    return ok
+
+
+def ring_pairs(left: np.ndarray, right: np.ndarray, begin: np.ndarray, end: np.ndarray, segments: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) within the budget of a ring of the first ``segments`` words of wide fingerprints, a few rows i at a time.
+
+    Row i of the left meets rows begin[i] to end[i] of the right; both bounds must not decrease. A pair whose first
+    segments are all over their share is never looked at again. At budgets of a third of the bits that is the filter's
+    whole gain: no key of a segment keeps apart what a scan of it wouldn't.
+    """
+    step = max(1, (1 << 17) // max(1, len(right)))
+    one, other = np.ascontiguousarray(left[:, :segments].T), np.ascontiguousarray(right[:, :segments].T)
+    for a in range(0, len(left), step):
+        b = min(a + step, len(left))
+        x, y = int(begin[a]), int(end[b - 1])
+        if x >= y:
+            continue
+        near = np.zeros((b - a, y - x), bool)
+        for k in range(segments):
+            near |= np.bitwise_count(one[k, a:b, None] ^ other[k, None, x:y]) <= budget // segments
+        i, j = np.divmod(np.flatnonzero(near), y - x)
+        i, j = i + a, j + x
+        met = (j >= begin[i]) & (j < end[i])
+        i, j = i[met], j[met]
+        ok = ring_ok(np.bitwise_count(left[i, :segments] ^ right[j, :segments]), budget)
+        if ok.any():
+            yield i[ok], j[ok]
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (node, root) of the pairs, as stars around the least node."""
     nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
