@@ -88,6 +88,8 @@ def _refined(p):
 
 def _registered(p):
     a = D.luma(p["rgb"])
+    if min(a.shape) < 2:  # a line has no gradient across it, so no shift can be told
+        return {n: np.full((1, 1), np.nan) for n in ("dx", "dy", "score")}
     m, rho, _ = G.estimate_affine(a, np.roll(a, 1, 1), motions=("translation",))
     return {"dx": np.full((1, 1), m[0, 2]), "dy": np.full((1, 1), m[1, 2]), "score": np.full((1, 1), rho)}
 
