@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from lithoframe.operators import detail as D
 from lithoframe.operators import planes as P
-from lithoframe.operators.scenes import MOST_PIXELS
+from lithoframe.operators.scenes import MOST_PIXELS, fill_missing
+
+CANDIDATES = ("bicubic", "gsa_additive", "hpm_linear", "hpm_log", "brovey", "ridge_global", "ridge_cv", "lowrank_ridge", "lowrank_cone")
+METRICS = ("rmse", "sam_deg", "ergas", "forward_rmse", "psnr", "detail_rho", "dark_rmse")
 
 
 @dataclass(frozen=True)
@@ -54,6 +57,8 @@ def ridge_per_output(x: np.ndarray, y: np.ndarray, row: np.ndarray, p: Protocol)
     for k in range(p.folds):
         rows = row[block == k]
         te = block == k
+        if not te.any():  # fewer rows than folds
+            continue
         tr = (row < rows.min() - p.buffer) | (row > rows.max() + p.buffer)
         if tr.sum() < x.shape[1] + 2:
             continue
@@ -114,16 +119,23 @@ def candidates(low: np.ndarray, rgb: np.ndarray, s: D.Sensor, p: Protocol) -> di
     return done
 
 
-def evaluate(truth: np.ndarray, got: np.ndarray, low: np.ndarray, s: D.Sensor, p: Protocol) -> dict[str, float]:
-    """RMSE, angle, ERGAS, forward RMSE, mean PSNR and correlation, and detail statistics off the margin."""
+def evaluate(truth: np.ndarray, got: np.ndarray, low: np.ndarray, s: D.Sensor, p: Protocol, known: np.ndarray | None = None) -> dict[str, float]:
+    """RMSE, angle, ERGAS, forward RMSE, mean PSNR and correlation, and detail statistics off the margin, over known pixels.
+
+    Where the margin leaves no pixel, only the forward RMSE can be told; the others are NaN.
+    """
     m = p.margin
     t, g = truth[m:-m or None, m:-m or None], got[m:-m or None, m:-m or None]
     ok = np.isfinite(t).all(-1) & np.isfinite(g).all(-1)
+    if known is not None:
+        ok &= known[m:-m or None, m:-m or None]
+    if not ok.any():
+        return dict.fromkeys(METRICS, float("nan")) | {"forward_rmse": float(np.sqrt(((s.down(got) - low) ** 2).mean()))}
     a, b = t[ok], g[ok]
     mse = ((a - b) ** 2).mean(0)
     cos = (a * b).sum(-1) / np.maximum(np.linalg.norm(a, axis=-1) * np.linalg.norm(b, axis=-1), 1e-10)
     hp = lambda v: v - P.gaussian(v, 1.2)
-    rho = [D.correlation(hp(t[..., k]), hp(g[..., k]), 16) for k in range(t.shape[-1])]
+    rho = [D.correlation(np.where(ok, hp(t[..., k]), np.nan), hp(g[..., k]), 16) for k in range(t.shape[-1])]
     dark = a.mean(-1) <= np.quantile(a.mean(-1), 0.25)
     return {
         "rmse": float(np.sqrt(mse.mean())),
@@ -142,17 +154,24 @@ def centre_crop(shape: tuple[int, int], ratio: int) -> tuple[int, int, int, int]
     return (shape[0] - h) // 2, (shape[1] - w) // 2, h, w
 
 
-def run_scene(truth: np.ndarray, rgb: np.ndarray, p: Protocol) -> list[tuple[str, str, float]]:
-    """(candidate, metric, value) of one scene, cropped to a multiple of the ratio around its centre."""
+def run_scene(truth: np.ndarray, rgb: np.ndarray, p: Protocol, known: np.ndarray | None = None) -> list[tuple[str, str, float]]:
+    """(candidate, metric, value) of one scene, cropped to a multiple of the ratio around its centre; NaN where a scene is too
+    small to be degraded by it."""
     y, x, h, w = centre_crop(truth.shape, p.ratio)
+    if not h or not w:
+        return [(n, m, float("nan")) for n in CANDIDATES for m in METRICS]
     truth, rgb = truth[y : y + h, x : x + w], rgb[y : y + h, x : x + w]
+    known = None if known is None else known[y : y + h, x : x + w]
     s = D.Sensor((h, w), (h // p.ratio, w // p.ratio), p.sigma, p.sigma)
     low = s.down(truth)
-    return [(n, m, v) for n, c in candidates(low, rgb, s, p).items() for m, v in evaluate(truth, c, low, s, p).items()]
+    return [(n, m, v) for n, c in candidates(low, rgb, s, p).items() for m, v in evaluate(truth, c, low, s, p, known).items()]
 
 
 def benchmark(df: DataFrame, p: Protocol | None = None, scene: str = "scene") -> DataFrame:
-    """(scene, candidate, metric, value, gain_percent): gains are over bicubic, where less is better, and null elsewhere."""
+    """(scene, candidate, metric, value, gain_percent): gains are over bicubic, where less is better, and null elsewhere.
+
+    Pixels that a scene lacks are filled for the candidates and left out of the metrics.
+    """
     p = p or Protocol()
     top = df.groupBy(scene).count().agg(F.max("count")).first()[0]
     if top is not None and top > MOST_PIXELS:
@@ -162,7 +181,12 @@ def benchmark(df: DataFrame, p: Protocol | None = None, scene: str = "scene") ->
         h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
         cube, rgb = np.zeros((h, w, len(pdf["values"].iloc[0]))), np.zeros((h, w, 3))
         cube[pdf["y"], pdf["x"]], rgb[pdf["y"], pdf["x"]] = np.array(pdf["values"].tolist()), np.array(pdf["rgb"].tolist())
-        out = pd.DataFrame(run_scene(cube, rgb, p), columns=["candidate", "metric", "value"])
+        known = np.zeros((h, w), bool)
+        known[pdf["y"], pdf["x"]] = True
+        known &= np.isfinite(cube).all(-1) & np.isfinite(rgb).all(-1)
+        if not known.all():
+            cube, rgb = fill_missing(cube, known), fill_missing(rgb, known)
+        out = pd.DataFrame(run_scene(cube, rgb, p, known), columns=["candidate", "metric", "value"])
         out.insert(0, scene, pdf[scene].iloc[0])
         return out
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from lithoframe.operators import wald
 from lithoframe.operators.scenes import fill_missing, per_scene
 from lithoframe.plans import catalogue
 
@@ -44,3 +45,30 @@ def test_gaps_are_filled_for_the_kernel_only(spark):
     df = spark.createDataFrame([(0, int(y), int(x), float(a[y, x])) for y, x in zip(*np.nonzero(gap))], "scene int, y int, x int, v double")
     got = {(r.y, r.x): r.s for r in per_scene(df, lambda p: {"s": np.full(p["v"].shape, p["v"].sum())}, ["v"], ["s"]).collect()}
     assert got == {(int(y), int(x)): full.sum() for y, x in zip(*np.nonzero(gap))}
+
+
+def test_wald_takes_scenes_of_any_height(spark, short):
+    for n, d in short:
+        rows = catalogue.queries()["wald_benchmark"](spark, d).collect()
+        assert len(rows) == 2 * len(wald.CANDIDATES) * len(wald.METRICS) and {(r.candidate, r.metric) for r in rows} == {(c, m) for c in wald.CANDIDATES for m in wald.METRICS}
+        told = {r.scene for r in rows if r.metric == "rmse" and r.value is not None}
+        assert told == ({0, 1} if n > 600 else {0})
+
+
+@pytest.mark.parametrize("h", [1, 2, 3, 4, 5, 6, 7, 9])
+def test_wald_of_few_rows(h):
+    rng = np.random.default_rng(h)
+    got = wald.run_scene(rng.random((h, 20, 6)), rng.random((h, 20, 3)), wald.Protocol(ratio=2, rank=4))
+    assert len(got) == 63 and all(np.isfinite(v) for n, m, v in got if m == "rmse") == (h >= 6)
+
+
+def test_wald_judges_known_pixels_only():
+    """What stands in the gap doesn't count: a truth that is nearly constant is met, whatever the gap was filled with."""
+    rng = np.random.default_rng(1)
+    truth, rgb = 0.5 + 1e-6 * rng.random((12, 12, 3)), rng.random((12, 12, 3))
+    known = np.ones((12, 12), bool)
+    known[-3, 4:9] = False
+    p = wald.Protocol(ratio=2, rank=2)
+    s, low = wald.D.Sensor((12, 12), (6, 6), p.sigma, p.sigma), np.full((6, 6, 3), 0.5)
+    wrong = np.where(known[..., None], truth, 9.0)
+    assert wald.evaluate(truth, wrong, low, s, p, known)["rmse"] < 1e-6 < wald.evaluate(truth, wrong, low, s, p)["rmse"]
