@@ -113,8 +113,9 @@ def _cone_input(spark, sf_dir):
     d = _with_reference(spark, sf_dir)
     add = F.when(V.dot(F.col("v"), F.col("reference")) < 0, 2.0).otherwise(0.0)
     c = V.let(add, lambda k: F.zip_with("reference", "v", lambda r, v: r + 0.3 * v + k * r))
-    d = d.withColumn("c", c)
-    return d.where(V.dot(F.col("c"), F.col("reference")) >= 0)
+    # Spark may compute the cone before it filters, so a candidate that points away is null before it is dropped.
+    d = d.withColumn("c", V.let(c, lambda e: F.when(V.dot(e, F.col("reference")) >= 0, e)))
+    return d.where("c is not null")
 
 
 @query(_CONE + f", z AS (SELECT degrees(atan2(size, al * sqrt(list_dot_product(r, r)))) AS before, size > lim AS cut FROM t) SELECT count(*) AS n, count(*) FILTER (cut) AS clipped, {q6('avg(before)', 'mean_angle_before')}, {q6('max(before)', 'max_angle_before')}, {q6('max(least(before, 40.0))', 'max_angle_after')} FROM z")
