@@ -18,7 +18,7 @@ def shapes(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stencil(df: DataFrame, kernel: Kernel, values: list[str], outputs: list[str], halo: int, keys: list[str] | None = None, shape: tuple[int, int] | None = None, tile: int = 256) -> DataFrame:
-    """keys, y, x and the outputs of a kernel over padded arrays.
+    """keys, y, x and the outputs of a kernel over padded arrays, for the pixels that there are.
 
     The kernel gets each value column as an array that reaches ``halo`` pixels beyond its tile, mirrored at the border
     of the plane (the edge pixel isn't repeated), NaN where a pixel is missing, and gives arrays of the same size. A task
@@ -53,12 +53,15 @@ def stencil(df: DataFrame, kernel: Kernel, values: list[str], outputs: list[str]
             a[iy, ix] = pdf[v].to_numpy(dtype=float)
             arrays[v] = np.pad(a, pad, mode="reflect")
         out = kernel(arrays)
-        yy, xx = (g.ravel() for g in np.mgrid[y0:y1, x0:x1])
-        got = pd.DataFrame({"y": yy.astype(np.int32), "x": xx.astype(np.int32)})
+        there = np.zeros((bottom - top, right - left), bool)
+        there[iy, ix] = True
+        there = there[y0 - top : y1 - top, x0 - left : x1 - left]
+        yy, xx = np.nonzero(there)
+        got = pd.DataFrame({"y": (yy + y0).astype(np.int32), "x": (xx + x0).astype(np.int32)})
         for k in keys:
             got[k] = pdf[k].iloc[0]
         for o in outputs:
-            got[o] = out[o][halo : halo + y1 - y0, halo : halo + x1 - x0].ravel()
+            got[o] = out[o][halo : halo + y1 - y0, halo : halo + x1 - x0][there]
         return got[names]
 
     fields = [f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + ["y int", "x int"] + [f"{o} double" for o in outputs]
