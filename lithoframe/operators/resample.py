@@ -10,15 +10,22 @@ from lithoframe.operators import planes as P
 
 #: Weight rows up to which an axis table is broadcast (24 bytes each); longer axes are joined by shuffle.
 BROADCAST_WEIGHTS = 1 << 20
+#: For each target sample, its source samples and their weights.
+Weights = list[list[tuple[int, float]]]
 
 
-def weight_table(spark: SparkSession, m: np.ndarray, source: str, target: str, weight: str) -> DataFrame:
-    t, s = np.nonzero(np.abs(m) > 1e-15)
-    df = spark.createDataFrame([(int(a), int(b), float(m[b, a])) for b, a in zip(t, s)], f"{source} int, {target} int, {weight} double")
-    return F.broadcast(df) if len(t) <= BROADCAST_WEIGHTS else df
+def weight_table(spark: SparkSession, m: np.ndarray | Weights, source: str, target: str, weight: str) -> DataFrame:
+    """A dense matrix's entries, or those of a list of weights for each target, as they are."""
+    if isinstance(m, np.ndarray):
+        t, s = np.nonzero(np.abs(m) > 1e-15)
+        rows = [(int(a), int(b), float(m[b, a])) for b, a in zip(t, s)]
+    else:
+        rows = [(s, t, float(w)) for t, row in enumerate(m) for s, w in row]
+    df = spark.createDataFrame(rows, f"{source} int, {target} int, {weight} double")
+    return F.broadcast(df) if len(rows) <= BROADCAST_WEIGHTS else df
 
 
-def separable(df: DataFrame, rows: np.ndarray, cols: np.ndarray, values: list[str], keys: list[str] | None = None) -> DataFrame:
+def separable(df: DataFrame, rows: np.ndarray | Weights, cols: np.ndarray | Weights, values: list[str], keys: list[str] | None = None) -> DataFrame:
     """keys, y, x and each value as rows @ plane @ cols.T, for sparse matrices: a pixel goes to the cells that it weighs in.
 
     Sums are built up before each of the two shuffles. A cell is null when a pixel that it needs is.
@@ -33,13 +40,23 @@ def separable(df: DataFrame, rows: np.ndarray, cols: np.ndarray, values: list[st
 
 def degrade(df: DataFrame, high: tuple[int, int], low: tuple[int, int], sigma_x: float, sigma_y: float, values: list[str], keys: list[str] | None = None) -> DataFrame:
     """Sensor blur, then area reduction, as one linear map an axis."""
-    rows = P.matrix(P.area_weights(high[0], low[0]), high[0]) @ P.blur_matrix(high[0], sigma_y)
-    cols = P.matrix(P.area_weights(high[1], low[1]), high[1]) @ P.blur_matrix(high[1], sigma_x)
-    return separable(df, rows, cols, values, keys)
+
+    def axis(k: int, sigma: float) -> np.ndarray | Weights:
+        w = P.area_weights(high[k], low[k])
+        return P.matrix(w, high[k]) @ P.blur_matrix(high[k], sigma) if sigma > 0 else w
+
+    return separable(df, axis(0, sigma_y), axis(1, sigma_x), values, keys)
+
+
+def block_mean(df: DataFrame, factor: int, values: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Area reduction by a whole factor: the mean of each block's pixels, of those that there are where the plane ends within it."""
+    keys = keys or []
+    at = [F.floor(F.col(c) / factor).cast("int").alias(c) for c in ("y", "x")]
+    return df.select(*keys, *at, *values).groupBy(*keys, "y", "x").agg(*[F.avg(v).alias(v) for v in values])
 
 
 def upsample(df: DataFrame, low: tuple[int, int], high: tuple[int, int], values: list[str], keys: list[str] | None = None) -> DataFrame:
-    return separable(df, P.matrix(P.bicubic_weights(low[0], high[0]), low[0]), P.matrix(P.bicubic_weights(low[1], high[1]), low[1]), values, keys)
+    return separable(df, P.bicubic_weights(low[0], high[0]), P.bicubic_weights(low[1], high[1]), values, keys)
 
 
 def nullspace(df: DataFrame, high: tuple[int, int], low: tuple[int, int], sigma_x: float, sigma_y: float, value: str, keys: list[str] | None = None) -> DataFrame:
