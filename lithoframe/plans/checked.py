@@ -301,10 +301,10 @@ def structure_gradient(spark, sf_dir):
     q = quantiles(d, [], {"q": F.col("v")}, [0.02, 0.98]).first().q
 
     def k(a):
-        gx, gy = P.gradient(P.gaussian(np.log(np.clip((a["v"] - q[0]) / max(q[1] - q[0], 1e-6), 0, 1) + 0.012), 0.7), "scharr")
+        gx, gy = P.gradient(P.gaussian(np.log(np.clip((a["v"] - q[0]) / max(q[1] - q[0], 1e-6), 0, 1) + 0.012), 0.7, skip=True), "scharr", skip=True)
         return {"gx": gx, "gy": gy, "m": np.hypot(gx, gy)}
 
-    return stencil(d, k, ["v"], ["gx", "gy", "m"], P.reach(0.7) + 1, tile=16).select("y", "x", r6("gx", "gx"), r6("gy", "gy"), r6("m", "magnitude"))
+    return stencil(d, k, ["v"], ["gx", "gy", "m"], P.reach(0.7) + 1, tile=16).where("m is not null").select("y", "x", r6("gx", "gx"), r6("gy", "gy"), r6("m", "magnitude"))
 
 
 _LIM = Q.limits()
@@ -336,7 +336,7 @@ def high_frequency_energy(spark, sf_dir):
 
     def k(a):
         n = np.clip((a["v"] - q[0]) / max(q[1] - q[0], 1e-6), 0, 1)
-        return {"h": np.abs(n - P.gaussian(n, 1.4))}
+        return {"h": np.abs(n - P.gaussian(n, 1.4, skip=True))}
 
     h = stencil(d, k, ["v"], ["h"], P.reach(1.4), tile=16)
     return quantiles(h, [], {"q": F.col("h")}, [0.95]).select(r6(F.col("q")[0], "energy"))

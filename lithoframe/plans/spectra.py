@@ -64,7 +64,7 @@ _K = P.gaussian_weights(0.8)
 def band_noise(spark, sf_dir):
     """Noise of a band: median absolute deviation of its residual against a small Gaussian."""
     d = pixels(spark, sf_dir).select("y", "x", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col("v")[b].alias("v")) for b in (0, 1)])).alias("s")).select("y", "x", "s.*")
-    r = stencil(d, lambda a: {"r": a["v"] - P.gaussian(a["v"], 0.8)}, ["v"], ["r"], P.reach(0.8), keys=["band"], tile=16)
+    r = stencil(d, lambda a: {"r": a["v"] - P.gaussian(a["v"], 0.8, skip=True)}, ["v"], ["r"], P.reach(0.8), keys=["band"], tile=16)
     mid = quantiles(r, ["band"], {"m": F.col("r")}, [0.5]).select("band", F.col("m")[0].alias("m"))
     mad = quantiles(r.join(mid, "band"), ["band"], {"d": F.abs(F.col("r") - F.col("m"))}, [0.5])
     return mad.select("band", r6(F.greatest(1.4826 * F.col("d")[0], F.lit(1e-6)), "noise"))
