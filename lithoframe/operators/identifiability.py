@@ -42,16 +42,26 @@ def rectangles(h: int, w: int, rows: int, cols: int, gap: int) -> list[tuple]:
     return out
 
 
+def extents(df: DataFrame, h: int, w: int, rows: int, cols: int, gap: int) -> list[tuple]:
+    """``rectangles`` of blocks as far as the plane's pixels reach: where its last row is short, a block may end before its share."""
+    ends = df.select(block_of(F.col("y"), F.col("x"), h, w, rows, cols).alias("block"), "y", "x").groupBy("block").agg(F.min("y"), F.max("y"), F.min("x"), F.max("x"))
+    # One row a block.
+    return [(b, y0 - gap, y1 + gap, x0 - gap, x1 + gap, y0 + gap, y1 - gap, x0 + gap, x1 - gap) for b, y0, y1, x0, x1 in sorted(map(tuple, ends.collect()))]
+
+
 def _sums(cols: list[Column]) -> list[Column]:
     return [F.sum(a * b).alias(f"s{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
 
 
-def blocked_moments(df: DataFrame, features: list[str], target: str, h: int, w: int, rows: int, cols: int, gap: int, keys: list[str] | None = None) -> DataFrame:
-    """keys, block, and sums of products of (1, features, target) outside the grown block (a...) and in its core (b...)."""
+def blocked_moments(df: DataFrame, features: list[str], target: str, h: int, w: int, rows: int, cols: int, gap: int, keys: list[str] | None = None, rect: list[tuple] | None = None) -> DataFrame:
+    """keys, block, and sums of products of (1, features, target) outside the grown block (a...) and in its core (b...).
+
+    ``rect`` are the blocks' rectangles, by default those of a plane without gaps.
+    """
     keys = keys or []
     ok = df.where(" and ".join(f"{c} is not null" for c in [*features, target]))
     one = [F.lit(1.0), *[F.col(f) for f in features], F.col(target)]
-    rect = rectangles(h, w, rows, cols, gap)
+    rect = rectangles(h, w, rows, cols, gap) if rect is None else rect
     inside = lambda k, a: F.col("y").between(k[a], k[a + 1]) & F.col("x").between(k[a + 2], k[a + 3])
     near = F.filter(F.array(*[F.when(inside(k, 1), F.lit(k[0])) for k in rect]), lambda v: v.isNotNull())
     core = F.coalesce(*[F.when(inside(k, 5), F.lit(k[0])) for k in rect])
@@ -67,10 +77,10 @@ def blocked_moments(df: DataFrame, features: list[str], target: str, h: int, w:
     return met.join(c, [*keys, "block"]).select(*keys, "block", *[(F.col(f"t_{n}") - F.col(f"g_{n}")).alias(f"a{n[1:]}") for n in names], *[f"b{n[1:]}" for n in names])
 
 
-def blocked_cv(df: DataFrame, feature: str, target: str, h: int, w: int, rows: int, cols: int, gap: int, ridge: float = 0.03, keys: list[str] | None = None, least_train: int = 192, least_test: int = 24) -> DataFrame:
+def blocked_cv(df: DataFrame, feature: str, target: str, h: int, w: int, rows: int, cols: int, gap: int, ridge: float = 0.03, keys: list[str] | None = None, least_train: int = 192, least_test: int = 24, rect: list[tuple] | None = None) -> DataFrame:
     """keys, block, slope, intercept, base (training mean), counts, and the core's sums for scoring: one standardised feature, in closed form."""
     keys = keys or []
-    m = blocked_moments(df, [feature], target, h, w, rows, cols, gap, keys)
+    m = blocked_moments(df, [feature], target, h, w, rows, cols, gap, keys, rect)
     c = F.col
     n, mx, my = c("a0_0"), c("a0_1") / c("a0_0"), c("a0_2") / c("a0_0")
     vx, cov = c("a1_1") / n - mx * mx, c("a1_2") / n - mx * my
@@ -192,11 +202,11 @@ def band_report(df: DataFrame, key: str, wanted: list, feature: str, target: str
     return j.select(key, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"), *names, told.alias("status"), reason.alias("reason"))
 
 
-def blocked_ridge(df: DataFrame, features: list[str], target: str, h: int, w: int, rows: int, cols: int, gap: int, alphas: list[float], keys: list[str] | None = None) -> DataFrame:
+def blocked_ridge(df: DataFrame, features: list[str], target: str, h: int, w: int, rows: int, cols: int, gap: int, alphas: list[float], keys: list[str] | None = None, rect: list[tuple] | None = None) -> DataFrame:
     """keys, block, alpha, counts, sse, sst of standardised ridge on several features. Only moments (one row a block) reach Python."""
     keys = keys or []
     p = len(features)
-    m = blocked_moments(df, features, target, h, w, rows, cols, gap, keys)
+    m = blocked_moments(df, features, target, h, w, rows, cols, gap, keys, rect)
 
     def run(it):
         for pdf in it:
