@@ -47,6 +47,19 @@ def rowwise(kind: str, f: Callable, *columns: Column) -> Column:
     return run(F.struct(*[c.alias(f"a{k}") for k, c in enumerate(columns)]))
 
 
+def mapwise(kind: str, f: Callable, *columns: Column) -> Column:
+    """f of a stack of affine maps (n, 2, 3), a batch at a time, from the columns of their six entries; null where one is."""
+
+    @F.arrow_udf(kind)
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for arr in it:
+            m = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in arr.flatten()], -1).reshape(-1, 2, 3)
+            out, known = f(m), np.isfinite(m).all((1, 2))
+            yield pa.array([v if ok else None for v, ok in zip(out.tolist(), known)], ARROW[kind])
+
+    return run(F.struct(*[c.alias(f"a{k}") for k, c in enumerate(columns)]))
+
+
 ARROW = {
     "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32()),
     "struct<samples:int,lines:int,bands:int,kind:string,waves:array<double>>": pa.struct([("samples", pa.int32()), ("lines", pa.int32()), ("bands", pa.int32()), ("kind", pa.string()), ("waves", pa.list_(pa.float64()))]),
@@ -200,19 +213,19 @@ def physical_maps(spark, sf_dir):
 @query(f"WITH m AS ({_MAP}), g AS (SELECT k, a * x + b * y + tx AS sx, c * x + d * y + ty AS sy FROM m, (SELECT unnest(range(16)) AS x) CROSS JOIN (SELECT unnest(range(12)) AS y)) SELECT k AS custkey, {q6('avg(CASE WHEN sx >= 1 - 1e-6 AND sy >= 1 - 1e-6 AND sx <= 14 + 1e-6 AND sy <= 10 + 1e-6 THEN 1.0 ELSE 0.0 END)', 'covered')} FROM g GROUP BY k")
 def coverage_fraction(spark, sf_dir):
     """The part of a plane that a map sends into a raster, one pixel from its border."""
-    f = lambda *m: float(A.covered((12, 16), _matrix(*m), (12, 16), 1.0).mean())
-    return _maps(spark, sf_dir).select(F.col("k").alias("custkey"), r6(rowwise("double", f, *map(F.col, _SIX)), "covered"))
+    f = lambda m: A.covered((12, 16), m, (12, 16), 1.0).mean((-2, -1))
+    return _maps(spark, sf_dir).select(F.col("k").alias("custkey"), r6(mapwise("double", f, *map(F.col, _SIX)), "covered"))
 
 
 @query(f"WITH m AS ({_MAP}), p AS (SELECT k, (a - 1) * x + b * y + tx AS ex, c * x + (d - 1) * y + ty AS ey FROM m, (SELECT 8 + i * (119 - 16) / 10.0 AS y FROM range(11) t(i)) CROSS JOIN (SELECT 8 + j * (99 - 16) / 8.0 AS x FROM range(9) t(j))), e AS (SELECT k, sqrt(ex * ex + ey * ey) AS e FROM p) SELECT k AS custkey, {q6('median(e)', 'median')}, {q6('quantile_cont(e, 0.95)', 'p95')}, {q6('max(e)', 'highest')} FROM e GROUP BY k")
 def affine_point_errors(spark, sf_dir):
     """Distances between a map and the identity at 11 x 9 points."""
 
-    def f(*m):
-        e = G.affine_errors(_matrix(*m), A.ONE, (120, 100))
-        return [float(np.median(e)), float(np.quantile(e, 0.95)), float(e.max())]
+    def f(m):
+        e = G.affine_errors(m, A.ONE, (120, 100))
+        return np.stack([np.median(e, -1), np.quantile(e, 0.95, axis=-1), e.max(-1)], -1)
 
-    d = _maps(spark, sf_dir).select("k", rowwise("array<double>", f, *map(F.col, _SIX)).alias("e"))
+    d = _maps(spark, sf_dir).select("k", mapwise("array<double>", f, *map(F.col, _SIX)).alias("e"))
     return d.select(F.col("k").alias("custkey"), *[r6(F.col("e")[i], n) for i, n in enumerate(("median", "p95", "highest"))])
 
 
