@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -37,6 +38,28 @@ def checkpointed(df):
     return df.checkpoint(eager=True)
 
 
+def cut(df):
+    """A small table with its lineage cut by a checkpoint, and without what Spark inferred of it.
+
+    A checkpoint keeps the constraints of its plan, and those of a loop's rounds build on each other, until planning takes
+    longer than the work.
+    """
+    spark, done = df.sparkSession, checkpointed(df)
+    return type(df)(spark._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), spark)
+
+
+def written(df):
+    """df as a table in the shared folder, and a call that deletes it. Columns are read from it faster than from a checkpoint."""
+    spark, at = df.sparkSession, f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+
+    def drop() -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+    return spark.read.schema(df.schema).parquet(at), drop
+
+
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     """A local session for tests and the bench."""
     b = SparkSession.builder.master(f"local[{cores}]").appName("lithoframe")
