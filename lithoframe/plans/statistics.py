@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lithoframe.functions import scalars as S
 from lithoframe.functions import vectors as V
 from lithoframe.operators import moments as M
-from lithoframe.operators.quantiles import quantiles
-from lithoframe.session import checkpointed
+from lithoframe.operators.quantiles import quantiles, small
+from lithoframe.session import cut, written
 from lithoframe.plans.base import AXIS, BANDS, LONG, PX, REF, mean_spectrum, pixels, q6, query, r6, table
 
 _ANGLE = "degrees(acos(greatest(least(list_dot_product(v, reference) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(reference, reference))), 1.0), -1.0)))"
@@ -83,31 +83,33 @@ def log_relation(spark, sf_dir):
 def irls_affine(df: DataFrame, by: list[str], x: str, y: str, gain_limits=(0.25, 4.0), offset_limits=(-1.0, 1.0), passes: int = 4) -> DataFrame:
     """Robust gain and offset of y on x for each group: a quartile fit, then reweighted passes with weights 1 / (1 + (r / 2.5 s)^2).
 
-    Rows and model are cut once, so each pass reads the rows that count and one row a group. A pass is two exact medians and
-    five weighted sums; no task holds a group. Groups with fewer than 64 rows keep gain 1 and offset 0.
+    The rows that count are written once to the shared folder, so each pass reads those and one row a group. A pass is two
+    exact medians and five weighted sums; no task holds a group. Groups with fewer than 64 rows keep gain 1 and offset 0.
     """
     g = by
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*g, F.col(x).alias("x"), F.col(y).alias("y"))
     q = quantiles(rows, g, {"xq": F.col("x"), "yq": F.col("y")}, [0.1, 0.25, 0.5, 0.75, 0.9]).withColumnRenamed("n_rows", "n")
     dx = F.col("xq")[3] - F.col("xq")[1]
     gain = S.clip(F.when(F.abs(dx) > 1e-9, (F.col("yq")[3] - F.col("yq")[1]) / F.when(F.abs(dx) > 1e-9, dx)).otherwise(1.0), *gain_limits)
-    model = checkpointed(q.withColumn("gain", gain).withColumn("offset", F.col("yq")[2] - F.col("gain") * F.col("xq")[2]))
+    model = cut(q.withColumn("gain", gain).withColumn("offset", F.col("yq")[2] - F.col("gain") * F.col("xq")[2]))
+    groups = model.count()
     inside = (F.col("n") >= 64) & F.col("x").between(F.col("xq")[0], F.col("xq")[4]) & F.col("y").between(F.col("yq")[0], F.col("yq")[4])
-    fit = checkpointed(rows.join(model.select(*g, "xq", "yq", "n"), g).where(inside).select(*g, "x", "y"))
-    sizes = tuple(fit.groupBy(*g).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.min("n"), F.lit(0))).first())
+    fit, drop = written(rows.join(small(model.select(*g, "xq", "yq", "n"), groups), g).where(inside).select(*g, "x", "y"))
+    sizes = tuple(fit.groupBy(*g).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first())
     now = model.select(*g, "n", "gain", "offset")
     for _ in range(passes):
-        r = fit.join(now.select(*g, "gain", "offset"), g).withColumn("r", F.col("y") - (F.col("gain") * F.col("x") + F.col("offset")))
+        r = fit.join(small(now.select(*g, "gain", "offset"), groups), g).withColumn("r", F.col("y") - (F.col("gain") * F.col("x") + F.col("offset")))
         mid = quantiles(r, g, {"mid": F.col("r")}, [0.5], sizes=sizes).select(*g, F.col("mid")[0].alias("mid"))
-        away = r.join(mid, g)
+        away = r.join(small(mid, groups), g)
         scale = quantiles(away, g, {"d": F.abs(F.col("r") - F.col("mid"))}, [0.5], sizes=sizes).select(*g, (1.4826 * F.col("d")[0] + 1e-6).alias("scale"))
-        w = r.join(scale, g).withColumn("w", 1 / (1 + (F.col("r") / (2.5 * F.col("scale"))) ** 2))
+        w = r.join(small(scale, groups), g).withColumn("w", 1 / (1 + (F.col("r") / (2.5 * F.col("scale"))) * (F.col("r") / (2.5 * F.col("scale")))))
         s = w.groupBy(*g).agg(F.sum("w").alias("sw"), F.sum(F.expr("w * x")).alias("sx"), F.sum(F.expr("w * y")).alias("sy"), F.sum(F.expr("w * x * x")).alias("sxx"), F.sum(F.expr("w * x * y")).alias("sxy"))
         det = F.expr("sw * sxx - sx * sx")
         new_gain = S.clip(F.expr("sw * sxy - sx * sy") / F.when(F.abs(det) > 1e-10, det), *gain_limits)
         new = s.withColumn("g1", new_gain).withColumn("o1", S.clip((F.col("sy") - F.col("g1") * F.col("sx")) / F.greatest("sw", F.lit(1e-10)), *offset_limits)).select(*g, "g1", "o1")
         now = now.join(new, g, "left").select(*g, "n", F.coalesce("g1", "gain").alias("gain"), F.when(F.col("g1").isNotNull(), F.col("o1")).otherwise(F.col("offset")).alias("offset"))
-        now = checkpointed(now)  # one row a group; without it every pass would redo all passes before it
+        now = cut(now)  # one row a group; without it every pass would redo all passes before it
+    drop()
     few = F.col("n") < 64
     return now.select(*g, "n", F.when(few, 1.0).otherwise(F.col("gain")).alias("gain"), F.when(few, 0.0).otherwise(S.clip(F.col("offset"), *offset_limits)).alias("offset"))
 

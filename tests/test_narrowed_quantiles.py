@@ -1,10 +1,14 @@
 """Quantiles of larger input: exact for any spread of values, bounded by all groups and columns together, and not planned ever longer."""
 
+import glob
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from lithoframe.operators import quantiles as Q
-from lithoframe.session import cut
+from lithoframe.plans import statistics
+from lithoframe.session import cut, shared_dir
 
 PROBS = [0.0, 0.003, 0.25, 0.5, 0.9, 1.0]
 
@@ -34,3 +38,19 @@ def test_cut_forgets_constraints(spark):
     done = cut(df)
     assert done._jdf.queryExecution().analyzed().constraints().size() == 0 and sorted(map(tuple, done.collect())) == [(4, 8)]
     assert done.schema.simpleString() == df.schema.simpleString()
+
+
+def test_robust_fit_of_larger_input(spark, monkeypatch):
+    """The same fit by either form of quantiles, in a time that doesn't grow with the passes before, and no table is left."""
+    rng = np.random.default_rng(3)
+    x = rng.random(3000)
+    y = np.where(rng.random(3000) < 0.1, 3 * rng.random(3000), 1.3 * x + 0.1 + 0.01 * rng.standard_normal(3000))
+    df = spark.createDataFrame([(int(k % 3), float(a), float(b)) for k, (a, b) in enumerate(zip(x, y))], "g int, x double, y double")
+    plain = {r.g: r for r in statistics.irls_affine(df, ["g"], "x", "y").collect()}
+    small_only = Q.quantiles.__defaults__
+    monkeypatch.setattr(Q.quantiles, "__defaults__", (10, *small_only[1:]))
+    began = time.time()
+    got = {r.g: r for r in statistics.irls_affine(df, ["g"], "x", "y").collect()}
+    assert time.time() - began < 240
+    assert all(np.isclose(got[g].gain, plain[g].gain) and np.isclose(got[g].offset, plain[g].offset) and abs(got[g].gain - 1.3) < 0.05 for g in plain)
+    assert not glob.glob(f"{shared_dir(spark)}/table-*")
